@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmetrics.operators import units
 from docmetrics.session import table
 from docmetrics.sources import csv_records
 
@@ -18,8 +19,16 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return csv_records.loaded(table(spark, d, "financial_metrics_raw"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.disagreements(p3_quantities(spark, d))
+
+
+def p3_quantities(spark: SparkSession, d: str) -> DataFrame:
+    return units.quantities(*(table(spark, d, t) for t in ("metric_records", "filings", "fx_rates")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_loaded)}
+    return {f.__name__: f for f in (p2_found, p2_loaded, p3_found, p3_quantities)}
 
 
 def oracle_sql() -> dict[str, str]:
