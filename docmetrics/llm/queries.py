@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmetrics.llm import leakage, mixing, quantiles, scans, skeletons, splitting
+from docmetrics.llm import leakage, mixing, names, quantiles, scans, skeletons, splitting
 from docmetrics.session import table
 
 
@@ -18,6 +18,18 @@ def p1_daily(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.daily_sketches(table(spark, d, "llm_calls")), ["provider", "model", "day"], (0.5, 0.99))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_rows(*_names(spark, d))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_clusters(*_names(spark, d))
+
+
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return tuple(table(spark, d, t) for t in ("filings", "gt_records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(*_items(spark, d))
 
@@ -63,7 +75,7 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_daily, p5_found, p5_pieces, p6_found, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_classes, p9_texts)}
+    return {f.__name__: f for f in (p1_percentiles, p1_daily, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_classes, p9_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
