@@ -46,6 +46,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise(table(spark, d, "parsed_pages"), table(spark, d, "text_blocks"))
 
 
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scan(table(spark, d, "parsed_pages"), table(spark, d, "text_blocks")).repaired()
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "parsed_pages"), table(spark, d, "text_blocks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -75,7 +83,7 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_daily, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_classes, p9_texts)}
+    return {f.__name__: f for f in (p1_percentiles, p1_daily, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_repaired, p6_paragraphs, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_classes, p9_texts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from docmetrics.session import cut
 
@@ -29,9 +29,12 @@ TRIE_WORDS, LOOKUPS, LEAST_TASKS = 40_000, 50_000, 6
 RATIO, OTHER_RATIO = 3.0, 200.0
 #: From this ratio on, a known confusion counts in every filing; below it only where the filing also has the right form.
 SURE_RATIO = 50.0
+#: Share of a word's occurrences that any neighbour has by chance; keeps an unseen neighbour from ruling a candidate out.
+BY_CHANCE = 1e-3
 HYPHENS = "-­‐‑"
 
 _LINE_END = re.compile(rf"[{HYPHENS}][ \t]*\n\s*")
+_WORD_END = re.compile(r"\S*[ \t]*\n?")
 _WORD_START = re.compile(r"[^\W_]+")
 #: Stripped from words, as the vocabulary does on the JVM.
 _OUTER = "".join(c for c in map(chr, [*range(0x21, 0x250), *range(0x2010, 0x2070), *range(0x20A0, 0x20C0), 0x2212]) if not c.isalnum())
@@ -40,6 +43,9 @@ _ORDINARY = re.compile(r"(?i)(?:q[1-4]|h[12]|\d+(?:st|nd|rd|th|s|m|bn|k|x|mm))")
 _MARKS = re.compile(r"(?i)[\s|]*(?P<mark>page|p[.]?|f-|seite)?[\s\[|–-]*(?P<n>[\dOoIlSBb]{1,5})(?:\s*(?:of|/)\s*[\dOoIlSBb]+)?[\s\]|–-]*")
 _ROMAN = re.compile(r"[\W_]*(?P<n>[ivxl1]{1,7})[\W_]*")
 _FIGURES = str.maketrans("OoIlSBb", "0011586")
+_REPAIRED_FIGURES = str.maketrans("OoIlbSBZ", "00116582")
+_COLUMNS = re.compile(r"\s{3,}|\t")
+_ITEM = re.compile(r"(?:[•·▪*–—-]|\(?\w{1,3}[.)])\s")
 _FOLD = str.maketrans({"c": "e", "i": "l", "1": "l", "|": "l", "0": "o", "5": "s", "4": "a", "6": "b", "h": "b", "8": "b", "q": "g"})
 
 
@@ -120,12 +126,11 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return words.where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def corrections(words: DataFrame) -> DataFrame:
-    """(word, n, correct, n_correct, known): each word that may be a misreading of a more frequent one, with its best candidate.
+def options(words: DataFrame) -> DataFrame:
+    """(word, n, correct, n_correct, known, score): each word that may be a misreading of more frequent ones, with all its candidates.
 
-    Candidates come from the automaton against the trie.  Known confusions rank before other edits, then the
-    likelier of frequency and errors.  Vocabulary and lookups are spread over tasks of bounded size; every lookup meets
-    every part of the vocabulary.
+    Candidates come from the automaton against the trie.  Vocabulary and lookups are spread over tasks of bounded size; every
+    lookup meets every part of the vocabulary.
     """
     usable = words.where(F.length("word").between(3, 40))
     right = usable.where(~F.col("word").rlike(r"\d") & (F.col("n") >= 3))
@@ -142,13 +147,14 @@ def corrections(words: DataFrame) -> DataFrame:
         for word, n in zip(asked["word"], asked["n"].astype(int)):
             other = OTHER_RATIO * n if len(word) >= 5 and word.isalpha() else float("inf")
             found = trie.within(word, max(RATIO, 50 if len(word) < 4 else 0) * n, max(other, 20))
-            if found:
-                best = max(found, key=lambda c: (found[c][1], found[c][2] * 0.05 ** found[c][0], c))
-                err, known, m = found[best]
-                rows.append((word, n, best, m, known, m * 0.05**err))
+            rows += [(word, n, c, m, known, m * 0.05**err) for c, (err, known, m) in found.items()]
         return pd.DataFrame(rows, columns=["word", "n", "correct", "n_correct", "known", "score"])
 
-    found = a.unionByName(b).groupBy("s", "q").applyInPandas(look_up, schema)
+    return a.unionByName(b).groupBy("s", "q").applyInPandas(look_up, schema)
+
+
+def corrections(found: DataFrame) -> DataFrame:
+    """(word, n, correct, n_correct, known): the best of :func:`options`.  Known confusions rank before other edits, then the likelier of frequency and errors."""
     best = F.max_by(F.struct("n", "correct", "n_correct", "known"), F.struct("known", "score", "correct"))
     return found.groupBy("word").agg(best.alias("b")).select("word", "b.*")
 
@@ -210,12 +216,23 @@ def _broken(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield a, b.end(), text[a : m.start()], b.group()
 
 
+def _near(words: list[str], k: int) -> str:
+    """The words before and after a word, comparable, separated by a space (either may be missing)."""
+    return " ".join(words[j].strip(_OUTER).lower() if 0 <= j < len(words) else "" for j in (k - 1, k + 1))
+
+
+def _misread_number(w: str) -> bool:
+    rest = w[2:] if w.lower().startswith("fy") else w
+    return any(c.isdigit() for c in w) and bool(_NUMBER.fullmatch(rest.rstrip("%"))) and not _ORDINARY.fullmatch(rest)
+
+
 def marks(texts: DataFrame, common: dict[str, int]) -> DataFrame:
     """What one reading of the pages finds: rows (page_id, document_id, page_number, kind, a, b, num).
 
     Decided here: ``hyphen`` (a, b: the parts; joined by the counts of common words) and ``misread`` (a: a number or word with
     letters and figures mixed).  For the joins that follow: ``word`` (a: not common), ``broken`` (a, b), ``number`` (num: offset from
-    the page's place, b: marked as a page number) and ``head`` (a: key); num of head is the line.
+    the page's place, a: line and part, b: marked as a page number) and ``head`` (a: key, b: part); num of head is the line.  b of ``word``
+    and ``misread`` are the neighbouring words; a word has one row for each distinct pair of them on the page.
     """
     shipped = texts.sparkSession.sparkContext.broadcast(common)  # at most COMMON_WORDS words
     schema = "page_id bigint, document_id string, page_number int, kind string, a string, b string, num bigint"
@@ -242,35 +259,38 @@ def marks(texts: DataFrame, common: dict[str, int]) -> DataFrame:
                         chunks.append(f"{first + second} ")
                     last = b
                 chunks.append(text[last:])
-                words = {*"".join(chunks).split()}
+                words = "".join(chunks).split()
                 seen = set()
-                for w in words:
+                for k, w in enumerate(words):
                     low = w.lower()
                     if low in known:
                         continue
                     w = w.strip(_OUTER)
                     low = w.lower()
-                    if not w or len(w) > 60 or low in known or low in seen or w.isdigit():
+                    if not w or len(w) > 60 or low in known or w.isdigit():
                         continue
-                    seen.add(low)
+                    near = _near(words, k)
+                    if (low, near) in seen:
+                        continue
+                    seen.add((low, near))
                     if low.isalpha():
-                        out.append((*at, "word", low, None, 0))
+                        out.append((*at, "word", low, near, 0))
                         continue
                     digits, letters = sum(c.isdigit() for c in w), sum(c.isalpha() for c in w)
                     if not letters:
                         continue
                     rest = w[2:] if low.startswith("fy") else w
-                    if digits and _NUMBER.fullmatch(rest.rstrip("%")) and not _ORDINARY.fullmatch(rest):
-                        out.append((*at, "misread", w, None, 0))
+                    if _misread_number(w):
+                        out.append((*at, "misread", w, near, 0))
                     elif digits and letters >= 2 and letters >= digits and rest == w and not _ORDINARY.fullmatch(w) and re.fullmatch(r"[^\W_]+", w):
-                        out.append((*at, "misread", w, None, 0))
+                        out.append((*at, "misread", w, near, 0))
                     else:
-                        out += [(*at, "word", x, None, 0) for x in re.split(r"[\W_]+", low) if x and not x.isdigit() and x not in known]
-                for i, _, key, number, marked in _edges(text.split("\n")):
+                        out += [(*at, "word", x, near, 0) for x in re.split(r"[\W_]+", low) if x and not x.isdigit() and x not in known]
+                for i, part, key, number, marked in _edges(text.split("\n")):
                     if number is not None:
-                        out.append((*at, "number", None, "marked" if marked else None, number - place))
+                        out.append((*at, "number", f"{i}\t{part}", "marked" if marked else None, number - place))
                     elif key:
-                        out.append((*at, "head", key, None, i))
+                        out.append((*at, "head", key, part, i))
             yield pd.DataFrame(out, columns=["page_id", "document_id", "page_number", "kind", "a", "b", "num"])
 
     return texts.where("page_number IS NOT NULL").select("page_id", "document_id", "page_number", "text").mapInPandas(run, schema)
@@ -282,7 +302,8 @@ class Scan:
     def __init__(self, pages: DataFrame, blocks: DataFrame) -> None:
         self.texts = page_texts(pages, blocks)
         self.words = cut(vocabulary(self.texts))
-        self.corrections = cut(corrections(self.words))
+        self.options = cut(options(self.words))
+        self.corrections = cut(corrections(self.options))
         common = self.words.where(F.col("n") >= COMMON_FROM).join(self.corrections.where("known"), "word", "left_anti")
         self.common = {r.word: r.n for r in common.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()}
         self.marks = cut(marks(self.texts, self.common))
@@ -313,20 +334,134 @@ class Scan:
         return done.unionByName(rest.where(((joined > 0) | (split == 0)) & (joined >= split) & ~compound).select("page_id", "a", "b"))
 
     def headers(self) -> DataFrame:
-        """(page_id, line): running header and footer lines, by keys that recur on at least two pages of the filing.
+        """(page_id, line, part): running header and footer lines, by keys that recur on at least two pages of the filing.
 
         A key two edits away from a recurring one is the same line wrongly recognised.  The first page, a cover, has none.
         """
-        heads = self.marks.where("kind = 'head' AND page_number > 1").select("document_id", "page_id", "page_number", F.col("a").alias("key"), F.col("num").alias("line"))
+        heads = self.marks.where("kind = 'head' AND page_number > 1").select("document_id", "page_id", "page_number", F.col("a").alias("key"), F.col("num").alias("line"), F.col("b").alias("part"))
         recurring = heads.groupBy("document_id", "key").agg(F.countDistinct("page_number").alias("_n")).where("_n >= 2").select("document_id", F.col("key").alias("_key"))
         near = heads.join(recurring, "document_id").where(F.levenshtein("key", "_key", 3) >= 0)
-        return near.select("page_id", "line").distinct()
+        return near.select("page_id", "line", "part").distinct()
 
     def page_numbers(self) -> DataFrame:
-        """(page_id): pages whose edge shows a number at the offset that other pages of the filing have too, or one marked as a page number."""
-        m = self.marks.where("kind = 'number'").select("document_id", "page_id", "page_number", F.col("num").alias("offset"), (F.col("b") == "marked").alias("marked"))
+        """(page_id, line, part): pages whose edge shows a number at the offset that other pages of the filing have too, or one marked as a page number."""
+        m = self.marks.where("kind = 'number'").select("document_id", "page_id", "page_number", F.col("num").alias("offset"), (F.col("b") == "marked").alias("marked"), F.split("a", "\t", 2).alias("_at"))
         steady = m.groupBy("document_id", "offset").agg(F.countDistinct("page_number").alias("_n")).where("_n >= 2")
-        return m.join(steady, ["document_id", "offset"], "left").where("_n IS NOT NULL OR marked").select("page_id").distinct()
+        return m.join(steady, ["document_id", "offset"], "left").where("_n IS NOT NULL OR marked").select("page_id", F.col("_at")[0].cast("bigint").alias("line"), F.col("_at")[1].alias("part")).distinct()
+
+    def in_context(self) -> DataFrame:
+        """(page_id, word, near, correct): the candidate that suits each place of a misread word best.
+
+        Candidates by known confusions rank before others; then their frequency and errors count together with how often
+        each of them follows the word before and precedes the word after, over all texts.
+        """
+        m = self.marks.where("kind IN ('word', 'misread')").select("page_id", F.lower("a").alias("word"), F.col("b").alias("near"))
+        wrong = self.misread().select("page_id", F.lower("word").alias("word")).distinct()
+        asked = m.join(wrong, ["page_id", "word"], "left_semi").join(self.options.drop("n"), "word")
+        sides = F.split("near", " ")
+        asked = cut(asked.select("*", F.concat_ws(" ", sides[0], "correct").alias("_l"), F.concat_ws(" ", "correct", sides[1]).alias("_r")))
+        wanted = asked.select(F.explode(F.array("_l", "_r")).alias("pair")).distinct()
+        words = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_extract(w, r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)), lambda w: w != "")
+        pairs = self.texts.select(words.alias("w")).select(F.explode(F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pair"))
+        counts = cut(pairs.where("pair IS NOT NULL").join(wanted, "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("n")))
+        for c in ("_l", "_r"):
+            asked = asked.join(counts.select(F.col("pair").alias(c), F.col("n").alias(f"n{c}")), c, "left")
+        suits = F.col("score")
+        for c in ("n_l", "n_r"):
+            suits = suits * (F.coalesce(c, F.lit(0)) / F.col("n_correct") + BY_CHANCE)
+        return asked.groupBy("page_id", "word", "near").agg(F.max_by("correct", F.struct("known", suits.alias("s"), "correct")).alias("correct"))
+
+    def repaired(self) -> DataFrame:
+        """(page_id, document_id, page_number, text): every page that has a text, repaired.
+
+        Misread words and numbers are put right, header lines and page numbers taken out, cut words joined and the lines of each paragraph
+        made one; paragraphs are a blank line apart.  A page whose place in the filing is null has its lines joined only.
+        """
+        fix = F.struct("kind", "a", "b", "c")
+        lines = self.headers().unionByName(self.page_numbers()).select("page_id", F.lit("line").alias("kind"), F.col("line").cast("string").alias("a"), F.col("part").alias("b"), F.lit(None).cast("string").alias("c"))
+        words = self.in_context().select("page_id", F.lit("word").alias("kind"), F.col("word").alias("a"), F.col("near").alias("b"), F.col("correct").alias("c"))
+        hyphens = self.hyphens().select("page_id", F.lit("hyphen").alias("kind"), F.lower("a").alias("a"), F.lower("b").alias("b"), F.lit(None).cast("string").alias("c"))
+        fixes = lines.unionByName(words).unionByName(hyphens).groupBy("page_id").agg(F.collect_set(fix).alias("fixes"))
+        base = self.texts.join(fixes, "page_id", "left")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf["text"] = [repair(t, [] if f is None else [(x["kind"], x["a"], x["b"], x["c"]) for x in f], n is not None and n == n) for t, f, n in zip(pdf["text"], pdf["fixes"], pdf["page_number"])]
+                yield pdf[["page_id", "document_id", "page_number", "text"]]
+
+        return base.mapInPandas(run, "page_id bigint, document_id string, page_number int, text string")
+
+
+def _as_written(correct: str, wrong: str) -> str:
+    """The correction in the letter case of what it replaces."""
+    letters = [c for c in wrong if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return correct.upper()
+    return correct[:1].upper() + correct[1:] if wrong[:1].isupper() else correct
+
+
+def repair(text: str, fixes: list[tuple], numbers: bool = True) -> str:
+    """A page's text with its fixes: (line, number of the line, part), (word, word, neighbours, correction), (hyphen, first part, second part)."""
+    furniture: dict[int, set[str]] = {}
+    by_place, by_word, cut_words = {}, {}, set()
+    for kind, a, b, c in sorted(fixes, key=str):
+        if kind == "line":
+            furniture.setdefault(int(a), set()).add(b)
+        elif kind == "word":
+            by_place[a, b] = c
+            by_word.setdefault(a, c)
+        else:
+            cut_words.add((a, b))
+    lines = text.split("\n")
+    for i, parts in furniture.items():
+        lines[i] = None if set(all_ := _COLUMNS.split(lines[i].strip())) <= parts else "   ".join(p for p in all_ if p not in parts)
+    text = "\n".join(line for line in lines if line is not None)
+    chunks, last = [], 0
+    for a, b, first, second in _broken(text):
+        if a >= last and (first.lower(), second.lower()) in cut_words:
+            chunks += [text[last:a], first, second]
+            last = b
+            rest = _WORD_END.match(text, b)  # the line ends after the word instead of in it
+            chunks.append(rest.group().rstrip() + "\n")
+            last = rest.end()
+    text = "".join([*chunks, text[last:]])
+    if by_word or numbers:
+        pieces = re.split(r"(\s+)", text)
+        words, k = text.split(), -1
+        for j, w in enumerate(pieces):
+            if not w or w.isspace():
+                continue
+            k += 1
+            core = w.strip(_OUTER)
+            low = core.lower()
+            if numbers and _misread_number(core):
+                head = core[:2] if low.startswith("fy") else ""
+                pieces[j] = w.replace(core, head + core[len(head) :].translate(_REPAIRED_FIGURES), 1)
+            elif core and by_word:
+                near = _near(words, k)
+                put = lambda x: _as_written(c, x) if (c := by_place.get((x.lower(), near)) or by_word.get(x.lower())) else x
+                fixed = put(core)
+                pieces[j] = w.replace(core, fixed if fixed != core else re.sub(r"[^\W_]+", lambda m: put(m.group()), core), 1)
+        text = "".join(pieces)
+    return reflow(text)
+
+
+def reflow(text: str) -> str:
+    """The lines of each paragraph made one; blank lines, headings, list items and rows of columns still end a paragraph."""
+    out = []
+    for block in re.split(r"\n[^\S\n]*(?:\n[^\S\n]*)+", text.strip("\n")):
+        lines = [line.strip() for line in block.split("\n") if line.strip()]
+        if not lines:
+            continue
+        width, joined = max(map(len, lines)), [lines[0]]
+        for before, line in zip(lines, lines[1:]):
+            apart = _COLUMNS.search(before) or _COLUMNS.search(line) or _ITEM.match(line) or len(before) < 0.6 * width and not line[0].islower()
+            if apart:
+                joined.append(line)
+            else:
+                joined[-1] += ("" if before[-1] in HYPHENS and len(before) > 1 and before[-2].isalnum() else " ") + line
+        out.append("\n".join(joined))
+    return "\n\n".join(out)
 
 
 def noise(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -341,3 +476,26 @@ def noise(pages: DataFrame, blocks: DataFrame) -> DataFrame:
         part = df.select("page_id", F.lit(kind).alias("kind"))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
+
+
+def paragraphs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(document_id, paragraph, page_number, text): the repaired paragraphs of each filing in order, also across its pages; page_number is where one begins.
+
+    Of a page that was delivered again the last delivery counts.  A paragraph goes on over a page break where it doesn't end like a sentence
+    and the next page goes on in lower case.
+    """
+    last = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy(F.col("page_id").desc()))
+    base = Scan(pages, blocks).repaired().where("document_id IS NOT NULL AND page_number IS NOT NULL").withColumn("_k", last).where("_k = 1")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows: list[list] = []
+        for doc, page, text in pdf.sort_values("page_number")[["document_id", "page_number", "text"]].itertuples(index=False):
+            for k, p in enumerate(p for p in text.split("\n\n") if p):
+                if not k and rows and p[0].islower() and rows[-1][3][-1] not in ".!?:;":
+                    end = rows[-1][3]
+                    rows[-1][3] = end + ("" if end[-1] in HYPHENS else " ") + p
+                else:
+                    rows.append([doc, len(rows) + 1, page, p])
+        return pd.DataFrame(rows, columns=["document_id", "paragraph", "page_number", "text"])
+
+    return base.drop("_k", "page_id").groupBy("document_id").applyInPandas(join, "document_id string, paragraph int, page_number int, text string")
