@@ -226,7 +226,7 @@ def _misread_number(w: str) -> bool:
     return any(c.isdigit() for c in w) and bool(_NUMBER.fullmatch(rest.rstrip("%"))) and not _ORDINARY.fullmatch(rest)
 
 
-def marks(texts: DataFrame, common: dict[str, int]) -> DataFrame:
+def marks(texts: DataFrame, common: dict[str, int], doubtful: set[str]) -> DataFrame:
     """What one reading of the pages finds: rows (page_id, document_id, page_number, kind, a, b, num).
 
     Decided here: ``hyphen`` (a, b: the parts; joined by the counts of common words) and ``misread`` (a: a number or word with
@@ -234,11 +234,13 @@ def marks(texts: DataFrame, common: dict[str, int]) -> DataFrame:
     the page's place, a: line and part, b: marked as a page number) and ``head`` (a: key, b: part); num of head is the line.  b of ``word``
     and ``misread`` are the neighbouring words; a word has one row for each distinct pair of them on the page.
     """
-    shipped = texts.sparkSession.sparkContext.broadcast(common)  # at most COMMON_WORDS words
+    # at most COMMON_WORDS words; those with figures or with a correction are tested wherever they stand
+    sound = {w for w in common if w not in doubtful and not any(c.isdigit() for c in w)}
+    shipped = texts.sparkSession.sparkContext.broadcast((common, sound))
     schema = "page_id bigint, document_id string, page_number int, kind string, a string, b string, num bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shipped.value
+        counts, known = shipped.value
         for pdf in batches:
             out = []
             for page, doc, place, text in zip(pdf["page_id"], pdf["document_id"], pdf["page_number"], pdf["text"]):
@@ -249,8 +251,8 @@ def marks(texts: DataFrame, common: dict[str, int]) -> DataFrame:
                         continue
                     joined, split = (first + second).lower(), f"{first}-{second}".lower()
                     chunks.append(text[last:a])
-                    if joined in known or split in known:
-                        hyphen = known.get(joined, 0) >= known.get(split, 0)
+                    if joined in counts or split in counts:
+                        hyphen = counts.get(joined, 0) >= counts.get(split, 0)
                         chunks.append(joined if hyphen else split)
                         if hyphen:
                             out.append((*at, "hyphen", first, second, 0))
@@ -304,9 +306,10 @@ class Scan:
         self.words = cut(vocabulary(self.texts))
         self.options = cut(options(self.words))
         self.corrections = cut(corrections(self.options))
-        common = self.words.where(F.col("n") >= COMMON_FROM).join(self.corrections.where("known"), "word", "left_anti")
-        self.common = {r.word: r.n for r in common.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()}
-        self.marks = cut(marks(self.texts, self.common))
+        common = self.words.where(F.col("n") >= COMMON_FROM).join(self.corrections.select("word", F.lit(True).alias("doubtful")), "word", "left")
+        common = common.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()
+        self.common = {r.word: r.n for r in common}
+        self.marks = cut(marks(self.texts, self.common, {r.word for r in common if r.doubtful}))
 
     def misread(self) -> DataFrame:
         """(page_id, word, correct): correct is null for numbers and words that mix letters and figures without a candidate."""

@@ -34,3 +34,9 @@ def test_neighbours_choose_between_candidates(spark, tmp_path):
     d = write(spark, tmp_path, [(1, "d", 1, "they posted more ba1l money"), (2, "d", 2, "they kicked the ba1l home"), (3, "e", 1, text)])
     out = {r.page_id: r.text for r in entry.queries()["p6_repaired"](spark, d).collect()}
     assert (out[1], out[2]) == ("they posted more bail money", "they kicked the ball home")
+
+
+def test_a_misread_number_counts_however_often_it_recurs(spark, tmp_path):
+    pages = [(i, f"d{i}", 1, "the balance of 2o21 and of 20l9") for i in range(120)]
+    found = entry.queries()["p6_found"](spark, write(spark, tmp_path, pages)).where("kind = 'misread'")
+    assert {r.page_id for r in found.collect()} == set(range(120))
