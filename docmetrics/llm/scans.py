@@ -121,7 +121,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     """(word, n) over all texts: lower case, without outer punctuation, words broken at a line end left out.  Counted on the JVM with partial sums before the shuffle."""
     # possessive, from the start of a run of letters only: linear in the length of any text
     whole = F.regexp_replace("text", rf"(?<!\p{{L}})\p{{L}}++[{HYPHENS}][ \t]*+\n\s*+\S*+", " ")
-    words = texts.select(F.explode(F.split(F.lower(whole), r"\s+")).alias("word")).where(F.length("word") <= 60)
+    words = texts.select(F.explode(F.split(F.lower(whole), r"\s+")).alias("word"))
     words = words.select(F.regexp_extract("word", r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0).alias("word"))
     return words.where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -130,9 +130,10 @@ def options(words: DataFrame) -> DataFrame:
     """(word, n, correct, n_correct, known, score): each word that may be a misreading of more frequent ones, with all its candidates.
 
     Candidates come from the automaton against the trie.  Vocabulary and lookups are spread over tasks of bounded size; every
-    lookup meets every part of the vocabulary.
+    lookup meets every part of the vocabulary.  Words from two characters on are looked up, those under five by known confusions
+    only; a single character says too little.
     """
-    usable = words.where(F.length("word").between(3, 40))
+    usable = words.where(F.length("word") >= 2)
     right = usable.where(~F.col("word").rlike(r"\d") & (F.col("n") >= 3))
     sizes = usable.agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("word").rlike(r"\d") & (F.col("n") >= 3)).alias("right")).first()
     shards, chunks = max(1, -(-sizes["right"] // TRIE_WORDS)), max(LEAST_TASKS, -(-sizes["all"] // LOOKUPS))
@@ -269,7 +270,7 @@ def marks(texts: DataFrame, common: dict[str, int], doubtful: set[str]) -> DataF
                         continue
                     w = w.strip(_OUTER)
                     low = w.lower()
-                    if not w or len(w) > 60 or low in known or w.isdigit():
+                    if not w or low in known or w.isdigit():
                         continue
                     near = _near(words, k)
                     if (low, near) in seen:

@@ -40,3 +40,13 @@ def test_a_misread_number_counts_however_often_it_recurs(spark, tmp_path):
     pages = [(i, f"d{i}", 1, "the balance of 2o21 and of 20l9") for i in range(120)]
     found = entry.queries()["p6_found"](spark, write(spark, tmp_path, pages)).where("kind = 'misread'")
     assert {r.page_id for r in found.collect()} == set(range(120))
+
+
+def test_short_and_very_long_words_are_looked_up(spark, tmp_path):
+    long_word = "donaudampfschifffahrtsgesellschaft" * 2
+    pages = [(1, "a", 1, "the balance 0f the company"), (2, "b", 1, "sold t0 the company"), (3, "c", 1, "the company rose in Q1 by 5m"), (4, "e", 1, f"the {long_word.replace('u', 'ii', 1)} rose")]
+    text = "\n".join([f"the balance of the company was sold to the {long_word}"] * 300)
+    d = write(spark, tmp_path, [*pages, (5, "f", 1, text)])
+    q = entry.queries()
+    assert {r.page_id for r in q["p6_found"](spark, d).where("kind = 'misread'").collect()} == {1, 2, 4}
+    assert {r.page_id: r.text for r in q["p6_repaired"](spark, d).where("page_id < 3").collect()} == {1: "the balance of the company", 2: "sold to the company"}
