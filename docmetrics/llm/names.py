@@ -246,7 +246,7 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "a string, b string, sim double, sure boolean")
 
 
-def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sig, centre): star clustering of a graph given by its nodes (sig) and its edges (a, b, sim) in one direction or both.
 
     Again and again every node that outranks its unassigned neighbours (by links, then name) becomes a centre and its unassigned neighbours its
@@ -258,7 +258,7 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataF
     degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("_d"))
     left = cut(nodes.select("sig").distinct().join(degrees.withColumnRenamed("a", "sig"), "sig", "inner").select("sig", "_d"))
     centres = None
-    for _ in range(rounds):
+    while True:  # the highest of what is left becomes a centre, so each round takes some nodes out
         rank = left.select(F.col("sig").alias("b"), F.struct("_d", "sig").alias("_rank"))
         best = both.join(rank, "b").join(left.select(F.col("sig").alias("a")), "a").groupBy("a").agg(F.max("_rank").alias("_best"))
         new = left.join(best.withColumnRenamed("a", "sig"), "sig", "left").where(F.col("_best").isNull() | (F.struct("_d", "sig") > F.col("_best"))).select("sig")
