@@ -1 +1 @@
-"""Column functions without side effects; all of them stay on the JVM."""
+"""Empty so far: no column functions exist."""

@@ -1 +1 @@
-"""Structured Streaming forms of the incremental operators."""
+"""Empty so far: no streaming forms exist."""
