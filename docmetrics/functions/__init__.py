@@ -1 +1 @@
-"""Empty so far: no column functions exist."""
+"""Column functions: Columns in, Columns out, no UDFs."""

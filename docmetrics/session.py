@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Settings for a session that this library creates itself; a cluster's own settings are left alone.
 DEFAULTS = {
@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -33,13 +34,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once a row.
+
+    A generator of one element: the optimizer neither merges projections over it nor pushes a filter on its output below
+    it, so that a chain of steps isn't written out again for each use of a step.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through a reliable checkpoint.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where none is named
-    (a local session) a temporary folder is set.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Where none is named, a local session gets a
+    temporary folder; on a cluster the executors don't share such a folder, so there the call fails.  Spark removes
+    the files once the returned frame is no longer referenced (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "docmetrics-checkpoints"))
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "docmetrics-checkpoints"))
     return df.checkpoint()

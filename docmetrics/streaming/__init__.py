@@ -1 +1 @@
-"""Empty so far: no streaming forms exist."""
+"""Structured Streaming forms."""
