@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from docmetrics.session import once
+
+# The columns of the ground-truth CSV.
 NUMBERS = ["revenue", "net_income", "operating_income", "total_assets", "total_liabilities", "cash_and_equivalents", "eps"]
 FIELDS = ["company", "fiscal_year", *NUMBERS, "currency", "unit", "source"]
 #: A plain decimal number, thousands commas removed: sign, digits with at most one point, exponent.
@@ -59,29 +62,32 @@ def read_records(df: DataFrame, raw: str = "raw_line") -> DataFrame:
     took, with neither quotes nor line breaks in them, keep its fields; all others are classified again by their quotes and
     count, since the reader also takes stray quotes and ends a record at an unquoted line break.  Then the values are cast.
     Reasons, the first that applies: ``broken_quoting``, ``column_count``, ``invalid_value``.  A null or empty text is one
-    empty field: ``column_count``.  No UDF; the pass is narrow, without a shuffle.  Columns of ``df`` named record or reason
-    are replaced.
+    empty field: ``column_count``.  No UDF; the pass is narrow, without a shuffle, and reads each text once.  Columns of
+    ``df`` named record or reason are replaced.
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS] + [T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "multiLine": "true"}
-    text = F.coalesce(F.col(raw), F.lit(""))
-    kept = [c for c in df.columns if c not in ("record", "reason")]
-    x = df.select(*[F.col(f"`{c}`") for c in kept], text.alias("_text")).withColumn("_read", F.from_csv("_text", _ddl(schema), options))
-    plain = ~F.col("_text").rlike('["\\r\\n\x1f]') & F.col("_read._corrupt").isNull() & (F.col("_text") != "")
-    x = x.withColumn("_plain", plain).withColumn("_parts", F.split("_text", '"'))
-    x = x.withColumn("_quoted", F.col("_plain") | _well_quoted(F.col("_parts")))
-    x = x.withColumn("_fields", F.when(F.col("_plain"), F.array(*[F.col(f"_read.{f}") for f in FIELDS])).when(F.col("_quoted"), _split(F.col("_parts"))))
-    field = {f: F.coalesce(F.get(F.col("_fields"), F.lit(i)), F.lit("")) for i, f in enumerate(FIELDS)}
-    year = _clean(field["fiscal_year"])
-    year_ok = year.rlike(r"^\+?[0-9]{4}$") & year.try_cast("int").between(1900, 2100)
-    numbers_ok = year_ok
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("record", "reason")]
+    x = df.select(F.struct(*kept).alias("_row"), F.coalesce(F.col(raw), F.lit("")).alias("_text"))
+    parsed = F.struct(F.from_csv("_text", _ddl(schema), options).alias("read"), F.split("_text", '"').alias("parts"))
+    x = once(x, "_a", parsed)
+    plain = ~F.col("_text").rlike('["\\r\\n\x1f]') & F.col("_a.read._corrupt").isNull() & (F.col("_text") != "")
+    x = once(x, "_b", F.struct(plain.alias("plain"), (plain | _well_quoted(F.col("_a.parts"))).alias("quoted")))
+    fields = F.when(F.col("_b.plain"), F.array(*[F.col(f"_a.read.{f}") for f in FIELDS])).when(F.col("_b.quoted"), _split(F.col("_a.parts")))
+    x = once(x.select("_row", "_b.quoted", fields.alias("_fields")), "_c", F.struct(*[F.coalesce(F.get(F.col("_fields"), F.lit(i)), F.lit("")).alias(f) for i, f in enumerate(FIELDS)], F.size("_fields").alias("n")))
+    year = _clean(F.col("_c.fiscal_year"))
+    year = F.when(year.rlike(r"^\+?[0-9]{4}$"), year.try_cast("int"))
+    cast = [F.when(year.between(1900, 2100), year).alias("fiscal_year")]
+    for f in NUMBERS:
+        cast += [number(F.col(f"_c.{f}")).alias(f), (_clean(F.col(f"_c.{f}")) == "").alias(f"{f}_blank")]
+    x = once(x.select("_row", "quoted", "_c"), "_d", F.struct(*cast))
+    sound = F.col("_d.fiscal_year").isNotNull()
     for f in NUMBERS:
-        numbers_ok = numbers_ok & ((_clean(field[f]) == "") | number(field[f]).isNotNull())
-    reason = F.when(~F.col("_quoted"), "broken_quoting").when(F.size("_fields") != len(FIELDS), "column_count").when(~F.coalesce(numbers_ok, F.lit(False)), "invalid_value")
-    typed = [F.nullif(field["company"], F.lit("")).alias("company"), year.try_cast("int").alias("fiscal_year")]
-    typed += [number(field[f]).alias(f) for f in NUMBERS] + [F.nullif(field[f], F.lit("")).alias(f) for f in ("currency", "unit", "source")]
-    out = x.withColumn("reason", reason)
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col("reason").isNull(), F.struct(*typed)).alias("record"), "reason")
+        sound = sound & (F.col(f"_d.{f}_blank") | F.col(f"_d.{f}").isNotNull())
+    reason = F.when(~F.col("quoted"), "broken_quoting").when(F.col("_c.n") != len(FIELDS), "column_count").when(~sound, "invalid_value")
+    x = once(x, "_e", F.struct(reason.alias("reason")))
+    typed = [F.nullif(F.col("_c.company"), F.lit("")).alias("company"), *(F.col(f"_d.{f}") for f in ("fiscal_year", *NUMBERS)), *(F.nullif(F.col(f"_c.{f}"), F.lit("")).alias(f) for f in ("currency", "unit", "source"))]
+    return x.select("_row.*", F.when(F.col("_e.reason").isNull(), F.struct(*typed)).alias("record"), F.col("_e.reason").alias("reason"))
 
 
 def _ddl(schema: T.StructType) -> str:
