@@ -15,7 +15,8 @@ from pyspark.sql import SparkSession
 SAME_LOOK = frozenset({"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>"})
 #: Palochka is drawn as a bare stem; the public table takes it for an i.
 OVERRIDES = {0x4CF: "l", 0x4C0: "I"}
-FIRST, LAST = 0x80, 0x20000
+#: Beyond the last one there are only private code points.
+FIRST, LAST = 0x80, 0xF0000
 
 _TABLES: dict[str, dict[int, str]] = {}
 
@@ -83,3 +84,8 @@ def skeleton(text: str, table: dict[int, str]) -> str:
         text = unicodedata.normalize("NFD", text)
     text = text.translate(table)
     return text if text.isascii() else unicodedata.normalize("NFD", text)
+
+
+def consistent_form(text: str, strict: dict[int, str]) -> str:
+    """The text with the strict table applied, which changes no ASCII character."""
+    return text if text.isascii() else skeleton(text, strict)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
-import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docmetrics.llm.confusables import skeleton, tables
 
 WINDOW, MAX_REPLACED = 20, 2
+#: Code points of items in one automaton.
+BLOCK = 16_000_000
+#: In place of a word's number: the pattern is the item's answer.
+ANSWER = -1
 _WORD = re.compile(r"\S+")
 
 
@@ -44,26 +48,31 @@ def run_length(window: int, replaced: int) -> int:
 
 
 class Automaton:
-    """Every run of ``n`` words of every item, without spaces, in one Aho-Corasick automaton."""
+    """Every run of ``n`` words of every item, and every answer, without spaces, in one Aho-Corasick automaton."""
+
+    def __init__(self, items: list[tuple[object, str | None]], answers: dict[object, str], strict: dict[int, str], window: int, replaced: int) -> None:
+        import ahocorasick
 
-    def __init__(self, items: list[tuple[int, str]], strict: dict[int, str], window: int, replaced: int) -> None:
         self.alphabet, self.window, self.replaced = _Alphabet(strict), window, replaced
         n = run_length(window, replaced)
         self.items = {i: _words(t, self.alphabet)[0] for i, t in items if t}
-        runs: dict[str, list[tuple[int, int]]] = {}
+        patterns: dict[str, list[tuple[object, int]]] = {}
         for i, words in self.items.items():
             if len(words) >= window:
                 for k in range(len(words) - n + 1):
-                    runs.setdefault("".join(words[k : k + n]), []).append((i, k))
+                    patterns.setdefault("".join(words[k : k + n]), []).append((i, k))
+        for i, a in answers.items():
+            if folded := a.translate(self.alphabet):
+                patterns.setdefault(folded, []).append((i, ANSWER))
         self.n, self.machine = n, ahocorasick.Automaton()
-        for run, where in runs.items():
-            self.machine.add_word(run, (len(run), where))
-        if runs:
+        for pattern, where in patterns.items():
+            self.machine.add_word(pattern, (len(pattern), where))
+        if patterns:
             self.machine.make_automaton()
-        self.empty = not runs
+        self.empty = not patterns
 
-    def spans(self, text: str) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item, first and last character, words, replaced words) of each passage found."""
+    def spans(self, text: str) -> Iterator[tuple[object, bool, int, int, int, int]]:
+        """(item, is an answer, first and last character, words, replaced words) of each passage and answer found, each once."""
         if self.empty:
             return
         stream = text.translate(self.alphabet)
@@ -76,19 +85,22 @@ class Automaton:
             starts[at] = j
             at += len(w)
             ends[at] = j
-        done: dict[int, list[tuple[int, int]]] = {}
+        done: dict[object, set[tuple[int, int]]] = {}
         for end, (length, where) in hits:
-            s = end - length + 1
+            s, e = end - length + 1, end + 1
             for item, k in where:
-                if any(a <= s and end < b for a, b in done.get(item, ())):
+                if k == ANSWER:
+                    if s in starts and e in ends:
+                        yield item, True, places[starts[s]][0], places[ends[e]][1], ends[e] - starts[s] + 1, 0
                     continue
-                if (found := self._grow(self.items[item], k, stream, s, end + 1, words, starts, ends)) is None:
+                held = done.setdefault(item, set())
+                if any(a <= s and end < b for a, b in held):
                     continue
-                a, b, n_words, n_replaced = found
-                done.setdefault(item, []).append((a, b))
-                first = self._word_at(a, starts, words)
-                last = self._word_at(b - 1, starts, words)
-                yield item, places[first][0], places[last][1], n_words, n_replaced
+                for a, b, n_words, n_replaced in self._grow(self.items[item], k, stream, s, e, words, starts, ends):
+                    if (a, b) in held:
+                        continue
+                    held.add((a, b))
+                    yield item, False, places[self._word_at(a, starts, words)][0], places[self._word_at(b - 1, starts, words)][1], n_words, n_replaced
 
     @staticmethod
     def _word_at(pos: int, starts: dict[int, int], words: list[str]) -> int:
@@ -96,8 +108,12 @@ class Automaton:
             pos -= 1
         return starts[pos]
 
-    def _grow(self, item: list[str], k: int, stream: str, s: int, e: int, words: list[str], starts: dict[int, int], ends: dict[int, int]) -> tuple[int, int, int, int] | None:
-        """Extend the run item[k:k+n] = stream[s:e] word by word; the longest stretch in which every window holds few enough replaced words."""
+    def _grow(self, item: list[str], k: int, stream: str, s: int, e: int, words: list[str], starts: dict[int, int], ends: dict[int, int]) -> list[tuple[int, int, int, int]]:
+        """Extend the run item[k:k+n] = stream[s:e] word by word to either side; the passages in it.
+
+        A passage is a longest stretch in which every window holds few enough replaced words; it begins and ends with a window whose
+        outer words agree.  Windows with more replaced words part two passages.
+        """
         edges = {k + self.n: e}  # item word -> place in the stream where it starts; the last one ends it
         ok: dict[int, bool] = {}
         at = s
@@ -128,55 +144,91 @@ class Automaton:
             edges[j] = p
             j -= 1
         lo = j + 1
-        best = None
-        for a in range(lo, hi - self.window + 1):
+        out, bad, stretch = [], 0, None
+        for a in range(lo, hi - self.window + 2):  # one past the last window, to close the stretch
             b = a + self.window
-            if ok[a] and ok[b - 1] and sum(not ok[x] for x in range(a, b)) <= self.replaced:
-                best = (min(best[0], a), b) if best else (a, b)
-        if best is None:
-            return None
-        return edges[best[0]], edges[best[1]], best[1] - best[0], sum(not ok[x] for x in range(*best))
+            if b <= hi:
+                bad = sum(not ok[x] for x in range(a, b)) if a == lo else bad - (not ok[a - 1]) + (not ok[b - 1])
+            if b > hi or bad > self.replaced:
+                if stretch:
+                    x, y = stretch
+                    out.append((edges[x], edges[y], y - x, sum(not ok[i] for i in range(x, y))))
+                stretch = None
+            elif ok[a] and ok[b - 1]:
+                stretch = (stretch[0] if stretch else a, b)
+        return out
 
     @staticmethod
     def _figure(word: str) -> bool:
         return any(c.isdigit() for c in word)
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_replaced: int = MAX_REPLACED, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
-    """One row per document and passage of an item in it: (doc_id, item_id, start, end, words, replaced[, answer_in_document]).
+def _blocks(items: DataFrame, key: str, text: str) -> list[Column]:
+    """Conditions that part the items into blocks of at most about BLOCK code points each."""
+    size = items.agg(F.sum(F.length(text)).alias("n")).first()[0] or 0
+    n = -(-size // BLOCK) or 1
+    return [F.pmod(F.xxhash64(key), F.lit(n)) == k for k in range(n)]
 
-    ``start`` and ``end`` are code points of the original text.  Words are separated by white space;
-    case, punctuation, spacing, accents and look-alike forms don't count.  A passage holds ``window``
-    consecutive words of the item with at most ``max_replaced`` replaced in them, none of which is a figure,
-    and begins and ends with words that agree.  Documents are read once and never shuffled.  The items go to
-    every worker, as a held-out set does: its size doesn't depend on the corpus.  Null or empty texts
-    contain nothing; items shorter than the window can't be found.
-    """
+
+def _found(documents: DataFrame, items: DataFrame, window: int, max_replaced: int, key: str, text: str, item_key: str, item_text: str, answer: str | None) -> DataFrame:
+    """(doc_id, item_id, is_answer, start, end, words, replaced): passages and, with an ``answer`` column, answers, of one automaton for each block of items."""
     spark = documents.sparkSession
     _, strict = tables(spark)
     cols = [F.col(item_key).alias("i"), F.col(item_text).alias("t"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a")]
-    held_out = items.select(*cols).where("i IS NOT NULL AND t IS NOT NULL").collect()  # the query set: fixed size
-    shipped = spark.sparkContext.broadcast(([(r.i, r.t) for r in held_out], {r.i: r.a for r in held_out if r.a}, strict))
-    base = documents.select(F.col(key).alias(key), F.col(text).alias("_text"))
+    base = documents.select(F.col(key).alias(key), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    held_out = items.select(*cols).where("i IS NOT NULL")
     item_type = items.select(item_key).schema[0].dataType
-    fields = [base.schema[0], T.StructField(item_key, item_type)] + [T.StructField(c, T.IntegerType()) for c in ("start", "end", "words", "replaced")]
-    schema = T.StructType(fields + [T.StructField("answer_in_document", T.BooleanType())] * bool(answer))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, answers, table = shipped.value
-        machine = Automaton(texts, table, window, max_replaced)
-        folded = {i: a.translate(machine.alphabet) for i, a in answers.items()}
-        for pdf in batches:
-            rows = []
-            for doc, t in zip(pdf[key], pdf["_text"]):
-                for item, a, b, n, r in machine.spans(t):
-                    row = (doc, item, a, b, n, r)
-                    if answer:
-                        row += (bool(folded.get(item)) and folded[item] in t.translate(machine.alphabet),)
-                    rows.append(row)
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
-
-    return base.where(F.col("_text").isNotNull()).mapInPandas(run, schema)
+    fields = [base.schema[0], T.StructField(item_key, item_type), T.StructField("is_answer", T.BooleanType())] + [T.StructField(c, T.IntegerType()) for c in ("start", "end", "words", "replaced")]
+    schema = T.StructType(fields)
+    out = None
+    for block in _blocks(held_out, "i", "t"):
+        rows = held_out.where(block).collect()  # a block of the query set: at most about BLOCK code points
+        shipped = spark.sparkContext.broadcast(([(r.i, r.t) for r in rows], {r.i: r.a for r in rows if r.a}, strict))
+        name = uuid.uuid4().hex
+
+        def run(batches: Iterator[pd.DataFrame], name: str = name, shipped: object = shipped) -> Iterator[pd.DataFrame]:
+            machine = _machine(name, lambda: Automaton(*shipped.value, window, max_replaced))
+            for pdf in batches:
+                found = [(doc, *span) for doc, t in zip(pdf[key], pdf["_text"]) for span in machine.spans(t)]
+                yield pd.DataFrame(found, columns=schema.fieldNames())
+
+        part = base.mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_MACHINES: dict[str, Automaton] = {}
+
+
+def _machine(name: str, make: Callable[[], Automaton]) -> Automaton:
+    """One automaton for each worker and block, built by the first of its tasks."""
+    if name not in _MACHINES:
+        _MACHINES.clear()
+        _MACHINES[name] = make()
+    return _MACHINES[name]
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_replaced: int = MAX_REPLACED, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document and passage of an item in it: (doc_id, item_id, start, end, words, replaced).
+
+    ``start`` and ``end`` are code points of the original text.  Words are separated by white space;
+    case, punctuation, spacing, accents and look-alike forms don't count.  A passage holds at least ``window``
+    consecutive words of the item with at most ``max_replaced`` replaced in any ``window`` of them, none of which is a figure,
+    and begins and ends with words that agree.  Documents are never shuffled and are read once for each block of BLOCK code points of items: a
+    held-out set, whose size doesn't depend on the corpus, is one block.  Null or empty texts contain nothing; items shorter than the window can't be found.
+    """
+    found = _found(documents, items, window, max_replaced, key, text, item_key, item_text, None)
+    return found.drop("is_answer")
+
+
+def leaked_answers(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", answer: str = "answer") -> DataFrame:
+    """(doc_id, item_id, answers, passages): how often each document holds an item's answer as whole words, and passages of its text.
+
+    Answers and runs of the texts are patterns of the same automaton.  An answer of a word or two says little by itself; together with a passage it says
+    that question and answer leaked.  A null or empty answer has no pattern.
+    """
+    found = _found(documents, items, WINDOW, MAX_REPLACED, key, text, item_key, item_text, answer)
+    return found.groupBy(key, item_key).agg(F.count_if("is_answer").alias("answers"), F.count_if(~F.col("is_answer")).alias("passages"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, **options: object) -> DataFrame:

@@ -186,7 +186,8 @@ def similarity(a: str, b: str) -> tuple[float, bool]:
         full, initial = ({x for x in [*first_a, *first_b] if len(x) > 1}, {x for x in [*first_a, *first_b] if len(x) == 1})
         if not set(first_a) & set(first_b) and not (initial and any(x[0] in initial for x in full)):
             return 0.0, False
-    sim = monge_elkan(core_a, core_b)
+    # names of general words only: compared by those, and by first names where there are none
+    sim = monge_elkan(core_a, core_b) if core_a or core_b else float(kind_a == kind_b and (bool(kind_a) or bool(set(first_a) & set(first_b))))
     return sim, kind_a == kind_b and bool(first_a) == bool(first_b)
 
 
@@ -219,20 +220,30 @@ def signatures(names: DataFrame) -> DataFrame:
     return names.select("company").distinct().mapInPandas(run, "company string, sig string, initials string")
 
 
-def candidates(sigs: DataFrame) -> DataFrame:
-    """(a, b) pairs of signatures that share a band, ``b`` being one with is_hub.
+def _telling(sig: str) -> list[str]:
+    """The words whose q-grams make the bands: the distinctive ones, else the descriptors, else the first names."""
+    first, core, kinds, _ = sig.split("|")
+    return (core or kinds or first).split()
 
-    Only hubs are met: a name spelled in thousands of ways meets the few spellings of the reference list, not the other thousands.
+
+def candidates(sigs: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """(a, b) pairs of signatures that share a band, ``b`` being one with is_hub, or with ``all_pairs`` any, each pair once.
+
+    With hubs only, a name spelled in thousands of ways meets the few spellings of the reference list, not the other thousands.  All pairs are between distinct
+    signatures, which spellings that differ in case, order, punctuation or abbreviations share.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, hub, k, key) for s, hub in zip(pdf["sig"], pdf["is_hub"]) if (core := s.split("|")[1].split()) for k, key in enumerate(_bands(core))]
+            rows = [(s, hub, k, key) for s, hub in zip(pdf["sig"], pdf["is_hub"]) for k, key in enumerate(_bands(_telling(s)))]
             yield pd.DataFrame(rows, columns=["sig", "is_hub", "band", "key"])
 
     banded = sigs.select("sig", "is_hub").mapInPandas(run, "sig string, is_hub boolean, band int, key bigint")
+    a = banded.select("band", "key", F.col("sig").alias("a"))
+    if all_pairs:
+        return a.join(banded.select("band", "key", F.col("sig").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
     hubs = banded.where("is_hub").select("band", "key", F.col("sig").alias("b"))
-    return banded.select("band", "key", F.col("sig").alias("a")).join(hubs, ["band", "key"]).where("a <> b").select("a", "b").distinct()
+    return a.join(hubs, ["band", "key"]).where("a <> b").select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -275,14 +286,14 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class Names:
-    """Names of two lists, linked through the spellings of the reference list."""
+    """Names of two lists, linked through the spellings of the reference list, or with ``all_pairs`` also with one another."""
 
-    def __init__(self, typed: DataFrame, reference: DataFrame) -> None:
+    def __init__(self, typed: DataFrame, reference: DataFrame, all_pairs: bool = False) -> None:
         both = typed.select("company", F.lit(False).alias("is_hub")).unionByName(reference.select("company", F.lit(True).alias("is_hub"))).where("company IS NOT NULL")
         flags = both.groupBy("company").agg(F.max("is_hub").alias("is_hub"))
         self.names = cut(signatures(flags).join(flags, "company"))
         self.sigs = self.names.groupBy("sig").agg(F.max("is_hub").alias("is_hub"))
-        self.links = cut(verified(candidates(self.sigs)))
+        self.links = cut(verified(candidates(self.sigs, all_pairs)))
         self.clusters = cut(star_clusters(self.sigs, self.links.where("sure")))
 
     def unsure(self) -> DataFrame:
@@ -319,8 +330,12 @@ def linked_rows(filings: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def name_clusters(filings: DataFrame, records: DataFrame) -> DataFrame:
-    """(company, cluster, links): one row per distinct name; names that resemble none of the reference list are clusters of their own."""
-    names = Names(filings, records)
-    links = names.links.groupBy(F.col("a").alias("sig")).agg(F.count(F.lit(1)).alias("links"))
+    """(company, cluster, links): one row per distinct name of either list, its cluster and how many other signatures it resembles.
+
+    Spellings of an organisation that the reference list doesn't have are clustered too.  Names that say nothing (null, blank, unknown) are left out.
+    """
+    names = Names(filings, records, all_pairs=True)
+    both = names.links.select(F.col("a").alias("sig")).unionByName(names.links.select(F.col("b").alias("sig")))
+    links = both.groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
     out = names.names.select("company", "sig").join(names.clusters, "sig").join(links, "sig", "left")
     return out.select("company", F.col("centre").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))

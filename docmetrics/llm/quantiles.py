@@ -7,19 +7,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from docmetrics.operators.ranks import order_statistics
+from docmetrics.session import cut
 
 #: Section size of the compactors.  See :func:`rank_error` for the bound it gives.
 SECTION = 64
 QUANTILES = (0.5, 0.9, 0.95, 0.99, 0.999)
-SALT, BUCKETS = 16, 8
+SALT = 16
+#: Values that one task holds in sketches before it hands them on.
+HELD = 4_000_000
+#: Bytes of sketches that go to every worker at once.
+SHIPPED = 64 << 20
 
 
 def rank_error(q: float, section: int = SECTION) -> float:
-    """Bound (three standard deviations) of a rank's error as a share of all values.
+    """Bound of a rank's error as a share of all values: three standard deviations.
 
-    It is proportional to 1 - q, the share of values above: the relative error of the tail is bounded, so p99.9 is
-    a hundred times as exact as p90.
+    A compactor of section size k whose values stand for weight w adds at most w to the rank of a value in its compacted part, with
+    a fair sign, and the tail beyond the protected half adds nothing.  Summed over the levels this has a standard deviation of c / k of the
+    share of values above, 1 - q.  c = 0.37 was measured, not derived: the largest ratio over lognormal, uniform and sorted
+    inputs of up to four million values merged in any order stays under it (tests/llm/test_p1_quantiles.py measures it again).
     """
     return 3 * 0.37 / section * (1 - q) + 1e-12
 
@@ -112,16 +121,20 @@ class Sketch:
                 mine.section, mine.size, mine.sections = theirs.section, theirs.size, theirs.sections
         self._compress()
 
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """The held values in order, and how many of all values are estimated to be at most each of them."""
+        values = np.concatenate([c.values for c in self.levels])
+        weights = np.concatenate([np.full(len(c.values), 1 << k, dtype=np.int64) for k, c in enumerate(self.levels)])
+        order = np.argsort(values, kind="stable")
+        return values[order], np.cumsum(weights[order])
+
     def quantiles(self, qs: tuple[float, ...]) -> list[float | None]:
         """The least value whose rank reaches q * n."""
         if not self.n:
             return [None] * len(qs)
-        values = np.concatenate([c.values for c in self.levels])
-        weights = np.concatenate([np.full(len(c.values), 1 << k, dtype=np.int64) for k, c in enumerate(self.levels)])
-        order = np.argsort(values, kind="stable")
-        ranks = np.cumsum(weights[order])
+        values, ranks = self.points()
         at = np.searchsorted(ranks, [max(1, int(np.ceil(q * ranks[-1] - 1e-9))) for q in qs])
-        return [float(v) for v in values[order][np.minimum(at, len(order) - 1)]]
+        return [float(v) for v in values[np.minimum(at, len(values) - 1)]]
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<iqddi", self.section, self.n, self.least, self.most, len(self.levels))
@@ -144,26 +157,34 @@ class Sketch:
 
 
 def local_sketches(df: DataFrame, keys: list[str], value: str, section: int = SECTION) -> DataFrame:
-    """(keys, n, sketch): one sketch per group and task, so that a group of any size leaves a task as one small row.
+    """(keys, n, sketch): sketches of each group from each task, so that a group of any size leaves a task as small rows.
 
     Null, NaN, infinite and negative values don't count (-1 marks calls without a measurement); null keys are groups of their own.
+    A task with very many groups hands on what it holds whenever that is HELD values.
     """
     base = df.select(*[F.col(k).alias(k) for k in keys], F.col(value).cast("double").alias("_v"))
     base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v") & F.col("_v").between(0, 1.7e308))
     names = [f"{f.name} {f.dataType.simpleString()}" for f in base.schema[:-1]]
 
+    def rows(held: dict[tuple, Sketch]) -> pd.DataFrame:
+        return pd.DataFrame([(*group, s.n, s.to_bytes()) for group, s in held.items()], columns=[*keys, "n", "sketch"])
+
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, Sketch] = {}
+        count = 0
         for pdf in batches:
             values = pdf["_v"].to_numpy(float)
-            for group, rows in pdf.groupby(keys, dropna=False, sort=False).indices.items():
+            for group, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
                 group = tuple(None if pd.isna(g) else g for g in (group if isinstance(group, tuple) else (group,)))
                 if group not in held:
                     held[group] = Sketch(section)
-                held[group].add(values[rows])
-        rows = [(*group, s.n, s.to_bytes()) for group, s in held.items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=[*keys, "n", "sketch"])
+                held[group].add(values[at])
+            count += len(pdf)
+            if count >= HELD and sum(len(c.values) for s in held.values() for c in s.levels) >= HELD:
+                yield rows(held)
+                held, count = {}, 0
+        if held:
+            yield rows(held)
 
     return base.mapInPandas(local, ", ".join([*names, "n bigint", "sketch binary"]))
 
@@ -178,11 +199,18 @@ def sketches(df: DataFrame, keys: list[str], value: str, section: int = SECTION)
 
 
 def daily_sketches(calls: DataFrame, section: int = SECTION) -> DataFrame:
-    """(provider, model, day, n, sketch) of calls: what a day's load would store.
+    """(provider, model, day, n, sketch) of calls: what a day's load would store, computed once.
 
-    A day's calls lie in at most BUCKETS tasks, sorted by day, so that neither a heavy day nor a heavy model meets in one task.
+    The calls are read once and shuffled once, by id; a day or model of any size is spread over all tasks and leaves each as one small sketch.  A
+    missing provider is that of the other measured calls of the model if they agree on one, otherwise it stays null: settled
+    between sketches, not calls.
     """
-    return merge(local_sketches(measured_calls(calls), ["provider", "model", "day"], "latency_ms", section), ["provider", "model", "day"])
+    keys = ["provider", "model", "day"]
+    parts = cut(sketches(measured_calls(calls), keys, "latency_ms", section))
+    named = parts.where("provider IS NOT NULL AND model IS NOT NULL").groupBy("model").agg(F.min("provider").alias("_p"), F.max("provider").alias("_q"))
+    owners = named.where("_p = _q").select("model", F.col("_p").alias("_owner"))
+    filled = parts.join(owners, "model", "left").select(F.coalesce("provider", "_owner").alias("provider"), "model", "day", "sketch")
+    return merge(filled, keys)
 
 
 def combined(daily: DataFrame) -> DataFrame:
@@ -227,16 +255,75 @@ def provider_name(provider: Column) -> Column:
 
 
 def measured_calls(calls: DataFrame) -> DataFrame:
-    """(provider, model, day, latency_ms): each call once, with one writing of its provider.
+    """(call_id, provider, model, day, latency_ms): each call once, with one writing of its provider.
+
+    A call delivered twice is the same in every column and counts once; calls without an id all count.  The one shuffle is by all columns,
+    so no value of any of them makes a task hot.
+    """
+    day = F.to_date("called_at").alias("day")
+    base = calls.select("call_id", provider_name(F.col("provider")).alias("provider"), "model", day, "latency_ms")
+    own = F.when(F.col("call_id").isNull(), F.monotonically_increasing_id()).alias("_own")
+    return base.select("*", own).distinct().drop("_own")
+
+
+def group_sketches(calls: DataFrame) -> DataFrame:
+    """(provider, model, n, sketch) over all days."""
+    return combined(daily_sketches(calls))
+
+
+def ranks(calls: DataFrame) -> DataFrame:
+    """(call_id, provider, model, latency_ms, rank): each measured call with the estimated share of its group's calls that are at most as slow.
+
+    The error of a rank is bounded by :func:`rank_error`.  The groups' sketches go to the workers in loads of at most SHIPPED bytes, each of which meets all calls
+    of its groups in one narrow pass; a group's calls are never brought together.  Providers are filled in as in :func:`daily_sketches`.
+    """
+    parts = group_sketches(calls).withColumn("_b", F.length("sketch"))
+    sole = parts.where("provider IS NOT NULL AND model IS NOT NULL").groupBy("model").agg((F.min("provider") == F.max("provider")).alias("sole"))
+    before = F.sum("_b").over(Window.orderBy("model", "provider")) - F.col("_b")  # over a row for each group
+    parts = cut(parts.join(sole, "model", "left").select("provider", "model", "sketch", F.coalesce("sole", F.lit(False)).alias("sole"), F.floor(before / SHIPPED).alias("load")))
+    once = measured_calls(calls).where(F.col("latency_ms").between(0, 1.7e308)).drop("day")
+    schema = T.StructType([*once.schema, T.StructField("rank", T.DoubleType())])
+    out = once.sparkSession.createDataFrame([], schema)
+    for load in range((parts.agg(F.max("load")).first()[0] or 0) + 1):
+        part = _ranked(once, parts.where(F.col("load") == load).drop("load").collect(), schema)  # at most SHIPPED bytes and one sketch
+        out = out.unionByName(part) if load else part
+    return out
+
+
+def _ranked(calls: DataFrame, sketches: list, schema: T.StructType) -> DataFrame:
+    shipped = calls.sparkSession.sparkContext.broadcast([(r.provider, r.model, bytes(r.sketch), r.sole) for r in sketches])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points = {(p, m): Sketch.from_bytes(v).points() for p, m, v, _ in shipped.value}
+        owner = {m: p for p, m, _, sole in shipped.value if sole}
+        for pdf in batches:
+            out = []
+            for (provider, model), rows in pdf.groupby(["provider", "model"], dropna=False, sort=False):
+                model = None if pd.isna(model) else model
+                provider = owner.get(model) if pd.isna(provider) else provider
+                if (provider, model) in points:
+                    values, counts = points[provider, model]
+                    at = np.searchsorted(values, rows["latency_ms"].to_numpy(float), side="right")
+                    out.append(rows.assign(provider=provider, rank=np.where(at > 0, counts[np.maximum(at, 1) - 1], 0) / counts[-1]))
+            yield pd.concat(out) if out else pdf.assign(rank=0.0)[:0]
+
+    return calls.mapInPandas(run, schema)
+
+
+def bounds(calls: DataFrame, quantiles: tuple[float, ...] = QUANTILES, section: int = SECTION) -> DataFrame:
+    """(provider, model, q, n, within): whether each estimated percentile lies between the exact values at the ranks that :func:`rank_error` allows.
 
-    Calls are told apart by call_id (a call delivered twice counts once; calls without an id all count).  A missing provider is that of
-    the other calls of the model if they agree on one, otherwise it stays null.
+    The exact values are those of :func:`docmetrics.operators.ranks.order_statistics`, which sorts no group in one task.
     """
-    base = calls.select("call_id", provider_name(F.col("provider")).alias("provider"), "model", F.to_date("called_at").alias("day"), "latency_ms")
-    # a repeated delivery repeats the whole row, the day too: rows meet by day and a part of the id, and no further shuffle is needed
-    spread = base.withColumn("_part", F.pmod(F.xxhash64("call_id", F.when(F.col("call_id").isNull(), F.monotonically_increasing_id())), F.lit(BUCKETS))).repartition("day", "_part")
-    once = spread.where("call_id IS NOT NULL").dropDuplicates(["day", "_part", "call_id"]).unionByName(spread.where("call_id IS NULL")).drop("_part")
-    owners = calls.select(provider_name(F.col("provider")).alias("p"), "model").where("p IS NOT NULL AND model IS NOT NULL").groupBy("model").agg(F.min("p").alias("_p"), F.max("p").alias("_q"))
-    owners = owners.where("_p = _q").select("model", F.col("_p").alias("_owner"))
-    out = once.join(owners, "model", "left").select(F.coalesce("provider", "_owner").alias("provider"), "model", "day", "latency_ms")
-    return out.sortWithinPartitions("day")
+    found = percentiles(group_sketches(calls), ["provider", "model"], quantiles)
+    n, margin = F.col("n"), rank_error(0.0, section)
+    wanted = {}
+    for i, q in enumerate(quantiles):
+        slack = margin * (1 - q)
+        wanted[f"low{i}"] = F.greatest(F.lit(0), F.ceil(n * (q - slack)) - 1)
+        wanted[f"high{i}"] = F.least(n - 1, F.greatest(F.lit(0), F.ceil(n * (q + slack)) - 1))
+    exact = order_statistics(ranks(calls), ["provider", "model"], "latency_ms", wanted)
+    rows = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high")) for i, q in enumerate(quantiles)])
+    exact = exact.select(F.col("provider").alias("_p"), F.col("model").alias("_m"), F.inline(rows))
+    met = found.join(exact, found["provider"].eqNullSafe(exact["_p"]) & found["model"].eqNullSafe(exact["_m"]) & (found["q"] == exact["q"]))
+    return met.select("provider", "model", found["q"], "n", F.col("estimate").between(F.col("low"), F.col("high")).alias("within"))

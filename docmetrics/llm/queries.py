@@ -10,8 +10,16 @@ from docmetrics.llm import leakage, mixing, names, quantiles, scans, skeletons,
 from docmetrics.session import table
 
 
+def p1_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.ranks(table(spark, d, "llm_calls"))
+
+
+def p1_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.bounds(table(spark, d, "llm_calls"))
+
+
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(quantiles.combined(quantiles.daily_sketches(table(spark, d, "llm_calls"))), ["provider", "model"])
+    return quantiles.percentiles(quantiles.group_sketches(table(spark, d, "llm_calls")), ["provider", "model"])
 
 
 def p1_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +67,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_passages(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), answer="answer")
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_answers(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_answers(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +82,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
+def p8_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Longer documents are used more often."""
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), weight="n_chars").copies()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return skeletons.look_alike_pairs(table(spark, d, "documents"))
 
@@ -83,7 +100,7 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_daily, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_repaired, p6_paragraphs, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_classes, p9_texts)}
+    return {f.__name__: f for f in (p1_ranks, p1_percentiles, p1_daily, p1_bounds, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_repaired, p6_paragraphs, p7_found, p7_passages, p7_answers, p8_mixture, p8_shares, p8_weighted, p9_found, p9_classes, p9_texts)}
 
 
 def oracle_sql() -> dict[str, str]:

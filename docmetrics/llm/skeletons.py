@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmetrics.llm.confusables import skeleton, tables
+from docmetrics.llm.confusables import consistent_form, skeleton, tables
 from docmetrics.session import cut
 
 LOOK = ["skeleton_key", "exact_key"]
@@ -24,22 +24,25 @@ def _long(text: str) -> int:
 
 
 def _keys(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, skeleton_key, exact_key, writing): digests of the skeleton, of the consistent text, of the text itself."""
+    """(key, skeleton_key, exact_key, writing): digests of the skeleton, of the consistent text, of the text itself.
+
+    The skeleton is that of the consistent text, so texts with the same consistent form never part in it.
+    """
     loose, strict = tables(df.sparkSession)
-    shipped = df.sparkSession.sparkContext.broadcast((loose, strict))  # fixed size: the look-alike table
+    shipped = df.sparkSession.sparkContext.broadcast((loose, strict))  # fixed size: the look-alike table of Unicode
     base = df.select(F.col(key).alias(key), F.col(text).alias("_text"))
     schema = T.StructType([base.schema[0], T.StructField("skeleton_key", T.BinaryType()), T.StructField("exact_key", T.LongType()), T.StructField("writing", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_look, by_char = shipped.value
         for pdf in batches:
-            texts = pdf["_text"]
-            yield pd.DataFrame({
-                key: pdf[key],
-                "skeleton_key": [_digest(skeleton(t, by_look), 16) for t in texts],
-                "exact_key": pd.Series([_long(skeleton(t, by_char)) for t in texts], dtype="int64"),
-                "writing": pd.Series([_long(t) for t in texts], dtype="int64"),
-            })
+            looks, exact, writings = [], [], []
+            for t in pdf["_text"]:
+                form = consistent_form(t, by_char)
+                looks.append(_digest(skeleton(form, by_look), 16))
+                exact.append(_long(form))
+                writings.append(_long(t) if form is not t else exact[-1])
+            yield pd.DataFrame({key: pdf[key], "skeleton_key": looks, "exact_key": pd.Series(exact, dtype="int64"), "writing": pd.Series(writings, dtype="int64")})
 
     return base.where(F.col(key).isNotNull() & F.col("_text").isNotNull()).mapInPandas(run, schema)
 
@@ -88,7 +91,7 @@ def consistent_texts(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     @F.pandas_udf("string")
     def consistent(texts: pd.Series) -> pd.Series:
         table = shipped.value
-        return texts.map(lambda t: None if t is None else t if t.isascii() and t.isprintable() else unicodedata.normalize("NFC", skeleton(t, table)))
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", consistent_form(t, table)))
 
     out = df.select(F.col(key).alias(key), F.col(text).alias("_text"), consistent(F.col(text)).alias("consistent_text"))
     return out.select(key, "consistent_text", (~F.col("_text").eqNullSafe(F.col("consistent_text"))).alias("changed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -64,7 +65,7 @@ def text_boundaries(text: str) -> dict[int, float]:
 
 def _best(text: str, cuts: list[int], worth: dict[int, float], lo: int, hi: int) -> int:
     """The deepest valley in [lo, hi]; without any the last line end, the last word end, at worst hi."""
-    inside = [p for p in cuts if lo <= p <= hi]
+    inside = cuts[bisect_left(cuts, lo) : bisect_right(cuts, hi)]
     if inside:
         return max(inside, key=lambda p: (worth[p], p))
     if (p := text.rfind("\n", lo, hi)) >= 0:
@@ -74,10 +75,14 @@ def _best(text: str, cuts: list[int], worth: dict[int, float], lo: int, hi: int)
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Spans of at most ``limit`` characters that cover ``text``; each begins exactly ``overlap`` characters before the end of the one before it."""
+    """Spans of at most ``limit`` characters that cover ``text``; each begins exactly ``overlap`` characters before the end of the one before it.
+
+    An overlap that leaves no room for new text is an error.
+    """
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} doesn't fit a limit of {limit}")
     if len(text) <= limit:
         return [(0, len(text))]
-    overlap = max(0, min(overlap, limit - 1))
     worth = text_boundaries(text)
     cuts, spans, start = sorted(worth), [], 0
     while len(text) - start > limit:
@@ -89,18 +94,24 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def split_rows(text: str, lengths: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Spans of a rendered table that begin and end at rows; neighbours share ``overlap`` rows.
+    """Spans of a rendered table that begin and end at rows; neighbours share exactly ``overlap`` rows.
 
-    A row too long to stand beside its overlap is first cut into parts at natural boundaries; the parts then count as rows.
+    Only where ``overlap`` + 1 rows in succession are too long for one piece, the long ones among them are cut into parts at natural boundaries; the parts
+    then count as rows.  An overlap that leaves no room for rows of a character is an error.
     """
+    room = (limit + 1) // (overlap + 1) - 1  # so many characters to each of overlap + 1 rows, with their line breaks, always fit
+    if overlap < 0 or room < 1:
+        raise ValueError(f"an overlap of {overlap} rows doesn't fit a limit of {limit}")
     if len(text) <= limit:
         return [(0, len(text))]
-    overlap = max(0, min(overlap, limit // 2 - 1))
-    room = max(1, limit // (overlap + 1) - 1)
-    units, at = [], 0
+    starts = [0]
     for n in lengths:
-        units += [(at + a, at + b) for a, b in split_text(text[at : at + n], room, 0)]
-        at += n + len(ROW)
+        starts.append(starts[-1] + n + len(ROW))
+    long_rows = {k for i in range(max(1, len(lengths) - overlap)) if starts[min(i + overlap + 1, len(lengths))] - 1 - starts[i] > limit for k in range(i, min(i + overlap + 1, len(lengths))) if lengths[k] > room}
+    units = []
+    for k, n in enumerate(lengths):
+        at = starts[k]
+        units += [(at + a, at + b) for a, b in (split_text(text[at : at + n], room, 0) if k in long_rows else [(0, n)])]
     depths = gap_depths([text[a:b] for a, b in units])
     spans, first = [], 0
     while True:
