@@ -46,16 +46,18 @@ def occurrences(x: Column, word: str, around: int = 500, case_sensitive: bool =
     quoted = "\\Q" + key.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     half, k = around // 2, len(word)
 
-    def places(parts: Column) -> Column:
+    def places(text: Column) -> Column:
+        # every part but the first begins at a place; an overlapping place may leave it shorter than the word
+        first = text.startswith(key)
         empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
-        step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when(p.startswith(key), F.concat(a["all"], F.array(a["at"]))).otherwise(a["all"]).alias("all"))
-        return F.aggregate(parts, empty, step, lambda a: a["all"])
+        step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when((a["at"] > 0) | first, F.concat(a["all"], F.array(a["at"]))).otherwise(a["all"]).alias("all"))
+        return F.aggregate(F.split(text, f"(?={quoted})"), empty, step, lambda a: a["all"])
 
     def place(i: Column) -> Column:
         first = F.greatest(F.lit(1), i + 1 - half).cast("int")
         return F.struct(i.alias("position"), F.substr(x, first, (i + 1 + k + half - first).cast("int")).alias("context"))
 
-    return F.coalesce(F.transform(places(F.split(text, f"(?={quoted})")), place), none)
+    return F.coalesce(F.transform(let(text, places), place), none)
 
 
 def snippet(x: Column, found: Column, around: int = 100) -> Column:

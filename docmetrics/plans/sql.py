@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docmetrics.operators import units
 from docmetrics.operators.context import BREAK, WORDS
 from docmetrics.operators.evaluate import FACTORS
 from docmetrics.operators.extract import KEYWORDS
@@ -159,6 +160,33 @@ def _csv() -> str:
     c3 AS (SELECT *, CASE WHEN NOT well THEN 'broken_quoting' WHEN n <> 12 THEN 'column_count' WHEN {bad} THEN 'invalid_value' END AS reason FROM c2)"""
 
 
+def _alone(pattern: str) -> str:
+    """The pattern without look-around, for tests of whether it occurs."""
+    for around, plain in (("(?<![a-z])", "(?:^|[^a-z])"), ("(?![a-z])", "(?:$|[^a-z])"), ("(?<![0-9,.])", "(?:^|[^0-9,.])"), ("(?<![0-9])", "(?:^|[^0-9])")):
+        pattern = pattern.replace(around, plain)
+    return pattern
+
+
+def _quantities() -> str:
+    """q: (metric_id, document_id, field_name, usd), from what the records state."""
+    first = lambda rules, x: "CASE " + " ".join(f"WHEN regexp_matches({x}, {_q(_alone(p))}) THEN {_q(v) if isinstance(v, str) else v}" for v, p in rules) + " END"
+    texts = ("original_value", "unit", "source_text")
+    # spaces between figures and letters make "5m" and "kUSD" read like words; codes of currencies are cut out first
+    bare = lambda c: f"regexp_replace(regexp_replace(lower({c}), {_q(units._CODES)}, ' ', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g')"
+    scale = "coalesce(" + ", ".join(first(units.SCALES, bare(c)) for c in texts) + ")"
+    money = "coalesce(" + ", ".join(first(units.CURRENCIES, f"lower({c})") for c in ("original_value", "unit", "currency", "source_text")) + ")"
+    cents = " OR ".join(f"coalesce(regexp_matches(lower({c}), {_q(_alone(units.CENTS))}), false)" for c in texts)
+    raw = f"regexp_replace(regexp_extract(original_value, {_q(units.NUMBER.replace(chr(92) + 's', chr(92) + 's'))}, 0), {_q(units.SPACES)}, '', 'g')"
+    minus = " OR ".join(f"regexp_matches(original_value, {_q(p)})" for p in (r"^\s*\(.*\)\s*$", r"^[^0-9]*[-−–][^0-9]*[0-9]", r"[0-9]\s*[-−–]\s*([a-zA-Z].*)?$"))
+    return f"""{METRIC_ROWS}, q1 AS (SELECT *, {raw} AS raw, {money} AS money, CASE WHEN field_name = 'eps' THEN CASE WHEN {cents} THEN 0.01 ELSE 1 END ELSE coalesce({scale}, 1) END::DOUBLE AS factor FROM m),
+    q2 AS (SELECT *, CASE WHEN regexp_matches(raw, ',[0-9]{{2}}$') THEN regexp_replace(left(raw, length(raw) - 3), '[.,]', '', 'g') || '.' || right(raw, 2)
+      WHEN regexp_matches(raw, '^[0-9,]*\\.[0-9]+$') THEN replace(raw, ',', '') ELSE regexp_replace(raw, '[.,]', '', 'g') END AS digits FROM q1),
+    q3 AS (SELECT *, CASE WHEN original_value IS NULL THEN CASE WHEN NOT isnan(value) THEN value END ELSE CASE WHEN {minus} THEN -1.0 ELSE 1.0 END * TRY_CAST(digits AS DOUBLE) END AS x FROM q2),
+    q AS (SELECT metric_id, q3.document_id, field_name, x * factor * CASE WHEN money = 'USD' THEN 1.0 ELSE r.usd_per_unit END AS usd FROM q3
+      LEFT JOIN (SELECT document_id, max(fiscal_year) AS fiscal_year FROM filings GROUP BY 1) f ON f.document_id = q3.document_id
+      LEFT JOIN (SELECT currency, fiscal_year, max(usd_per_unit) AS usd_per_unit FROM fx_rates GROUP BY 1, 2) r ON r.currency = money AND r.fiscal_year = f.fiscal_year)"""
+
+
 def _wide() -> str:
     return ", ".join(f"max(value) FILTER (field_name = '{f}' AND NOT isnan(value)) AS {f}" for f in METRICS)
 
@@ -185,6 +213,7 @@ def oracles(prices: list[tuple]) -> dict[str, str]:
     out = {
         "p2_found": f"WITH {csv} SELECT record_id, reason FROM c3 WHERE reason IS NOT NULL",
         "p2_loaded": f"WITH {csv} SELECT record_id, {fields} FROM c3 WHERE reason IS NULL",
+        "p3_found": f"WITH {_quantities()} SELECT a.metric_id AS metric_id_a, b.metric_id AS metric_id_b FROM q a JOIN q b USING (document_id, field_name) WHERE a.metric_id < b.metric_id AND abs(a.usd - b.usd) > 0.01 * greatest(abs(a.usd), abs(b.usd))",
         "field_result": f"WITH {RESULTS} SELECT run_id, field_name, predicted, ground_truth, absolute_error, relative_error, exact_match, within_05pct, within_1pct, within_5pct FROM e",
         "failure_classify": f"WITH {RESULTS}, {FAILED} SELECT run_id, field_name, failure_type FROM y",
         "failure_severity": f"WITH {RESULTS}, {FAILED} SELECT run_id, field_name, severity FROM y",

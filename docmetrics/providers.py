@@ -139,7 +139,7 @@ def replies(contexts: DataFrame, provider: str | Callable[[], Provider] = "mock"
 
 
 def corrected(first: DataFrame, factory: Callable[[], Provider]) -> DataFrame:
-    """The replies, those that aren't a JSON object asked for once more; a second failure keeps the first text.  Tokens of the second request aren't counted."""
-    again = unreadable(first).select("document_id", "pipeline", F.lit(PROMPTS["text_only"]).alias("prompt"), F.concat(F.lit(CORRECTION), F.coalesce("reply_start", F.lit(""))).alias("context"))
+    """The replies, those that aren't a JSON object asked for once more; a second failure keeps the first text, and calls that failed altogether aren't repeated.  Tokens of the second request aren't counted."""
+    again = unreadable(first.where("text IS NOT NULL")).select("document_id", "pipeline", F.lit(PROMPTS["text_only"]).alias("prompt"), F.concat(F.lit(CORRECTION), F.coalesce("reply_start", F.lit(""))).alias("context"))
     second = call_models(again, factory).select("document_id", "pipeline", F.when(json_object(F.col("text")).isNotNull(), F.col("text")).alias("_second"))
     return first.join(second, ["document_id", "pipeline"], "left").withColumn("text", F.coalesce("_second", "text")).drop("_second")
