@@ -75,7 +75,7 @@ def normalize_value(raw: Column, default_currency: str | Column | None = "USD",
     ``base_unit``, whatever the currency.  ``error`` is ``empty_input`` (null or blank), ``empty_number`` or ``not_a_number``; the value
     is null then.
     """
-    default = F.lit(default_currency) if not isinstance(default_currency, Column) else default_currency
+    default = F.lit(default_currency).cast("string") if not isinstance(default_currency, Column) else default_currency
     base = F.lit(base_unit) if isinstance(base_unit, str) else base_unit
     names = {"1.0E12": "trillion ", "1.0E9": "billion ", "1000000.0": "million ", "1000.0": "thousand "}
 

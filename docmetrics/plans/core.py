@@ -11,9 +11,9 @@ from docmetrics.operators import context, cost, evaluate, extract, metrics, prov
 from docmetrics.plans import sql
 from docmetrics.plans.experiment import Experiment
 from docmetrics.session import table
-from docmetrics.sources import csv_records, documents
+from docmetrics.sources import csv_records, documents, pages
 from docmetrics.sources.ground_truth import number_cell
-from docmetrics.storage import matching, newest, wide_reports
+from docmetrics.storage import matching, newest, run_rows, wide_reports
 from docmetrics.streaming.ingest import call_windows
 
 #: Prices that the cost queries use; any table of this form does.
@@ -219,6 +219,22 @@ def table_keyword(spark: SparkSession, d: str) -> DataFrame:
     return provenance.first_table_with(table(spark, d, "parsed_tables"), "net income").select("document_id", "page", "table_index", "table_id")
 
 
+def table_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Tables taken apart into cells and put together again, filled up to full rows."""
+    flat = table(spark, d, "parsed_tables").select("table_id", F.posexplode("rows").alias("row", "_r")).select("table_id", "row", F.posexplode("_r").alias("col", "text"))
+    return pages.grid(flat, ["table_id"]).select("table_id", grids.table_text(F.col("rows")).alias("text"))
+
+
+def block_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks in order without the gaps of their index; of a block delivered again the one parsed last."""
+    once = table(spark, d, "text_blocks").groupBy("document_id", "page", "block_index").agg(F.max("parsed_at").alias("parsed_at"))
+    return pages.numbered(once).select("document_id", "page", "block_index", "running")
+
+
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_tables").groupBy("document_id").agg(F.count(F.lit(1)).alias("tables"), F.coalesce(F.max("table_index"), F.lit(0)).alias("last_index"))
+
+
 def page_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of blocks turned to the bottom of their page (a turn is its own reverse)."""
     heights = table(spark, d, "parsed_pages").groupBy("document_id", F.col("page_number").alias("page")).agg(F.max("height").alias("height"))
@@ -289,8 +305,8 @@ def wide_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _experiment(spark: SparkSession, d: str) -> Experiment:
     filed = table(spark, d, "filings").select("document_id", "company", "fiscal_year")
-    pages, blocks, tables, records = (table(spark, d, t) for t in ("parsed_pages", "text_blocks", "parsed_tables", "gt_records"))
-    return Experiment(filed, pages, blocks, tables, records, _prices(spark))
+    parsed, blocks, tables, records = (table(spark, d, t) for t in ("parsed_pages", "text_blocks", "parsed_tables", "gt_records"))
+    return Experiment(filed, parsed, blocks, tables, records, _prices(spark))
 
 
 def experiment_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -305,6 +321,11 @@ def experiment_provenance(spark: SparkSession, d: str) -> DataFrame:
     return _experiment(spark, d).provenance.select("document_id", "pipeline", "field_name", "page", "source_text")
 
 
+def experiment_stored(spark: SparkSession, d: str) -> DataFrame:
+    run = _experiment(spark, d)
+    return run_rows(run.reports, run.metrics)[1].select("extraction_id", "field_name", "value")
+
+
 def experiment_failures(spark: SparkSession, d: str) -> DataFrame:
     return _experiment(spark, d).failures.select("document_id", "pipeline", "field_name", "failure_type", "severity")
 
@@ -320,7 +341,7 @@ QUERIES = [
     pricing_match, call_cost, cost_rollup, all_text, keyword_pages, text_context, layout_context, hybrid_context, table_to_text, table_headers, table_keyword,
     page_boxes, mock_scan, json_clean, json_map, assemble_status, keyword_occurrences, value_source, content_id, ingest_idempotent, filename_metadata,
     recent_documents, recent_experiments, metric_validation, consistency_checks, wide_report, experiment_metrics, experiment_reports, experiment_provenance,
-    experiment_failures, experiment_summary,
+    experiment_stored, experiment_failures, experiment_summary, table_grid, block_numbers, table_counts,
 ]
 
 

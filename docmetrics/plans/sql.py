@@ -254,6 +254,11 @@ def oracles(prices: list[tuple]) -> dict[str, str]:
         "table_headers": f"""WITH x AS (SELECT table_id, list_filter(list_transform(coalesce(rows[1], []), lambda c: coalesce(c, '')), lambda c: {strip("c")} <> '') AS f FROM parsed_tables)
             SELECT table_id, coalesce(len(f) > 0 AND len(list_filter(f, lambda c: regexp_matches(regexp_replace(regexp_replace(c, '[$€£¥,%()]|{_CHAR}', '', 'g'), '^-', ''), {_q(_FLOAT)}))) * 2 < len(f), false) AS first_is_header FROM x""",
         "table_keyword": "SELECT document_id, page, table_index, table_id FROM parsed_tables WHERE document_id IS NOT NULL AND contains(lower(array_to_string(list_transform(flatten(rows), lambda c: coalesce(c, '')), ' ')), 'net income') QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY page NULLS FIRST, table_index NULLS FIRST, table_id) = 1",
+        "table_grid": """WITH x AS (SELECT table_id, rows, list_max(list_transform(rows, lambda r: len(coalesce(r, [])))) AS n FROM parsed_tables)
+            SELECT table_id, array_to_string(list_transform(rows, lambda r: '| ' || array_to_string(list_transform(list_resize(coalesce(r, []), n, ''), lambda c: coalesce(c, '')), ' | ') || ' |'), chr(10)) AS text FROM x WHERE n > 0""",
+        "block_numbers": "SELECT document_id, page, block_index, (row_number() OVER (PARTITION BY document_id, page ORDER BY block_index) - 1)::INTEGER AS running FROM (SELECT DISTINCT document_id, page, block_index FROM text_blocks)",
+        "table_counts": "SELECT document_id, count(*) AS tables, coalesce(max(table_index), 0) AS last_index FROM parsed_tables GROUP BY document_id",
+        "experiment_stored": f"WITH {EXPERIMENT} SELECT left(sha256(document_id || chr(31) || pipeline), 32) AS extraction_id, field_name, value FROM em",
         "page_boxes": "SELECT b.document_id, b.page, b.block_index, CASE WHEN h.height IS NULL THEN bbox[2] ELSE h.height - bbox[2] END AS top FROM text_blocks b LEFT JOIN (SELECT document_id, page_number, max(height) AS height FROM parsed_pages GROUP BY ALL) h ON h.document_id = b.document_id AND h.page_number = b.page",
         "mock_scan": f"WITH {TEXT_CONTEXT}, {_scan('tc', 'document_id')} SELECT document_id, field_name, value, source_text FROM sc",
         "json_clean": f"WITH {OBJECTS} SELECT call_id, cleaned, j IS NOT NULL AS is_object FROM o",

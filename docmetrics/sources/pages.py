@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from docmetrics.functions.tables import filled, header_row
 
@@ -122,6 +122,12 @@ def table_rows(parsed: DataFrame) -> DataFrame:
     return flat.select("document_id", "page", "table_index", filled(F.col("rows")).alias("rows"), header_row(F.col("rows")).alias("headers"), "bbox")
 
 
+def numbered(items: DataFrame, page: str = "page", order: str = "block_index") -> DataFrame:
+    """items with ``running``, their number on their page counted from 0 without gaps."""
+    place = Window.partitionBy("document_id", page).orderBy(order)
+    return items.withColumn("running", F.row_number().over(place) - 1)
+
+
 def page_counts(parsed: DataFrame) -> DataFrame:
     """(document_id, pages, tables) of the readable documents."""
     return parsed.where("error IS NULL").groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce(F.size("tables"), F.lit(0))).alias("tables"))

@@ -197,3 +197,28 @@ def test_a_whole_experiment(spark, tmp_path):
     assert store.read("extractions").count() == 3 and store.read("metrics").count() == 9
     write_summary(run.summary(), str(tmp_path / "summary"))
     assert spark.read.json(str(tmp_path / "summary")).count() == 3
+
+
+def test_the_sample_report(spark):
+    from docmetrics.sources import sample
+
+    parsed = sample.sample_parsed(spark)
+    pages = p.page_rows(parsed).withColumn("page_id", F.monotonically_increasing_id())
+    tables = p.table_rows(parsed).withColumn("table_id", F.monotonically_increasing_id())
+    records = spark.createDataFrame([(1, sample.COMPANY, sample.YEAR, 50000.0, 9000.0, 12000.0, 120000.0, 70000.0, 15000.0, 4.5, "USD", "million USD", None)], "gt_id bigint, company string, fiscal_year int, revenue double, net_income double, operating_income double, total_assets double, total_liabilities double, cash_and_equivalents double, eps double, currency string, unit string, source string")
+    prices = spark.createDataFrame([], "key string, ordinal int, input_per_million double, output_per_million double")
+    run = Experiment(sample.sample_document(spark), pages, p.block_rows(parsed), tables, records, prices)
+    got = {(r.pipeline, r.field_name): r.value for r in run.metrics.where("value IS NOT NULL").collect()}
+    assert {got[k, "revenue"] for k in ("text_only", "layout_aware", "hybrid")} == {50000.0}
+    assert {r.pipeline: r.exact_accuracy_pct for r in run.summary().collect()}["text_only"] == 100.0
+    assert tables.first().headers == ["Item", "2023"] or tables.first().headers == []
+    assert [r.running for r in p.numbered(p.block_rows(parsed)).where("page = 1").orderBy("running").collect()] == [0, 1, 2]
+
+
+def test_settings():
+    from docmetrics.settings import Settings
+
+    s = Settings.read({"DOCMETRICS_PROVIDER": "OpenAI", "DOCMETRICS_LOG_LEVEL": "info", "DOCMETRICS_ATTEMPTS": "5", "OTHER": "x"}, model="m")
+    assert (s.provider, s.log_level, s.attempts, s.model, s.parser) == ("openai", "INFO", 5, "m", "text")
+    with pytest.raises(TypeError):
+        Settings.read({}, nothing=1)
