@@ -37,3 +37,11 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_entry_and_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_rest_works_without_the_llm_folder():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['docmetrics.llm'] = None; import __spark_entry__ as e; assert 'p2_found' in e.queries() and 'p9_found' not in e.queries() and 'p5_found' not in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
