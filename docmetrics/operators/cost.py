@@ -6,6 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docmetrics.session import small
+
 PRICES = "key string, ordinal int, input_per_million double, output_per_million double"
 
 
@@ -36,7 +38,7 @@ def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
     A call without either token count has no usage and no cost; one missing count is 0.  Without a price the cost is null.
     """
-    by_model = matched_prices(calls.where("model IS NOT NULL"), prices).select("model", F.col("key").alias("price_key"), "input_per_million", "output_per_million")
+    by_model = small(matched_prices(calls.where("model IS NOT NULL"), prices).select("model", F.col("key").alias("price_key"), "input_per_million", "output_per_million"))  # a row for each model
     tokens = [F.coalesce(F.col(c), F.lit(0)) for c in ("input_tokens", "output_tokens")]
     cost = tokens[0] / 1_000_000 * F.col("input_per_million") + tokens[1] / 1_000_000 * F.col("output_per_million")
     used = F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docmetrics.session import small
+
 #: Cells to a factor of e.
 CELLS = 4096
 
@@ -32,7 +34,8 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     held = placed.alias("p").join(wanted.alias("w"), on("p", "w"))
     held = held.where("_rank >= _before AND _rank < _before + _n").select(*[F.col(f"p.{k}").alias(k) for k in keys], "_cell", "_i", (F.col("_rank") - F.col("_before")).alias("_at"))
-    some = held.select(*keys, "_cell").distinct()
+    held = small(held)  # a few rows for each group; where it is sent, only the wanted cells' values are shuffled
+    some = small(held.select(*keys, "_cell").distinct())
     inside = base.alias("b").join(some.alias("s"), [*on("b", "s"), F.col("b._cell") == F.col("s._cell")], "left_semi")
     values = inside.groupBy(*keys, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -57,3 +57,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "docmetrics-checkpoints"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, computed once, marked to be broadcast if it has at most ``most`` rows; a larger one is joined by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
