@@ -7,10 +7,12 @@ header or footer lines (``header``) and page numbers (``page_number``).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docmetrics.session import cut
 
@@ -23,17 +25,24 @@ CONFUSIONS = [
 FIGURE_LETTERS = "OoIlbSBZ"
 #: Words at least so frequent, and at most so many of them, go to every worker with their counts; all others are joined.
 COMMON_FROM, COMMON_WORDS = 100, 50_000
-#: Words in one task's trie and words that one task looks up; a larger vocabulary is spread over more tasks.
-TRIE_WORDS, LOOKUPS, LEAST_TASKS = 40_000, 50_000, 6
-#: A word is taken for a misreading of one so many times as frequent: by known confusions, by one other edit.
-RATIO, OTHER_RATIO = 3.0, 200.0
+#: A word is taken for a misreading of one so many times as frequent: by known confusions, the same for words under four characters, by one other edit.
+RATIO, SHORT_RATIO, OTHER_RATIO = 3.0, 50.0, 200.0
+#: Both parts of a word with a hyphen at a line end make up at least so much of all words: then it is a compound, unless the corpus writes it in one.
+COMPOUND_PART = 1e-6
 #: From this ratio on, a known confusion counts in every filing; below it only where the filing also has the right form.
 SURE_RATIO = 50.0
 #: Share of a word's occurrences that any neighbour has by chance; keeps an unseen neighbour from ruling a candidate out.
 BY_CHANCE = 1e-3
+#: Distinct words that a task counts at once.
+HELD = 1_000_000
+#: Bytes of word pairs that may go to every worker.
+BROADCAST = 32 << 20
 HYPHENS = "-­‐‑"
 
 _LINE_END = re.compile(rf"[{HYPHENS}][ \t]*\n\s*")
+#: A word that a line end cuts, and the rest of it; possessive, from the start of a run of letters only: linear in the length of any text.
+_BROKEN = re.compile(rf"(?<![^\W\d_])[^\W\d_]++[{HYPHENS}][ \t]*+\n\s*+\S*+")
+_TRIMMED = re.compile(r"(?s)[^\W_](?:.*[^\W_])?")
 _WORD_END = re.compile(r"\S*[ \t]*\n?")
 _WORD_START = re.compile(r"[^\W_]+")
 #: Stripped from words, as the vocabulary does on the JVM.
@@ -41,9 +50,12 @@ _OUTER = "".join(c for c in map(chr, [*range(0x21, 0x250), *range(0x2010, 0x2070
 _NUMBER = re.compile(rf"(?=.*\d)(?=.*[{FIGURE_LETTERS}])[\d.,{FIGURE_LETTERS}]+")
 _ORDINARY = re.compile(r"(?i)(?:q[1-4]|h[12]|\d+(?:st|nd|rd|th|s|m|bn|k|x|mm))")
 _MARKS = re.compile(r"(?i)[\s|]*(?P<mark>page|p[.]?|f-|seite)?[\s\[|–-]*(?P<n>[\dOoIlSBb]{1,5})(?:\s*(?:of|/)\s*[\dOoIlSBb]+)?[\s\]|–-]*")
-_ROMAN = re.compile(r"[\W_]*(?P<n>[ivxl1]{1,7})[\W_]*")
+_ROMAN = re.compile(r"[\W_]*(?P<n>[ivxlcdm1]{1,15})[\W_]*")
 _FIGURES = str.maketrans("OoIlSBb", "0011586")
 _REPAIRED_FIGURES = str.maketrans("OoIlbSBZ", "00116582")
+_LETTER = re.compile(r"[^\W\d_]")
+_MIXED = re.compile(rf"[\d.,][{FIGURE_LETTERS}]|[{FIGURE_LETTERS}][\d.,]")
+_BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _COLUMNS = re.compile(r"\s{3,}|\t")
 _ITEM = re.compile(r"(?:[•·▪*–—-]|\(?\w{1,3}[.)])\s")
 _FOLD = str.maketrans({"c": "e", "i": "l", "1": "l", "|": "l", "0": "o", "5": "s", "4": "a", "6": "b", "h": "b", "8": "b", "q": "g"})
@@ -118,40 +130,77 @@ def page_texts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts: lower case, without outer punctuation, words broken at a line end left out.  Counted on the JVM with partial sums before the shuffle."""
-    # possessive, from the start of a run of letters only: linear in the length of any text
-    whole = F.regexp_replace("text", rf"(?<!\p{{L}})\p{{L}}++[{HYPHENS}][ \t]*+\n\s*+\S*+", " ")
-    words = texts.select(F.explode(F.split(F.lower(whole), r"\s+")).alias("word"))
-    words = words.select(F.regexp_extract("word", r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0).alias("word"))
-    return words.where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n) over all texts: lower case, without outer punctuation, words broken at a line end left out.
+
+    Each task counts its texts' words before anything is shuffled, and hands on what it holds whenever that is HELD distinct words; they are trimmed once
+    each, not at each place.  (The same on the JVM, by split, explode and regular expressions, took twice the time.)
+    """
+
+    def counted(counts: Counter[str]) -> pd.DataFrame:
+        words: Counter[str] = Counter()
+        for w, n in counts.items():
+            if (m := _TRIMMED.search(w)) and any(map(str.isalpha, m.group())):
+                words[m.group()] += n
+        return pd.DataFrame(list(words.items()), columns=["word", "n"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[str] = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                counts.update((_BROKEN.sub(" ", text) if _LINE_END.search(text) else text).lower().split())
+            if len(counts) >= HELD:
+                yield counted(counts)
+                counts = Counter()
+        yield counted(counts)
+
+    return texts.select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fold(word: Column) -> Column:
+    """A key that any number of the known confusions leaves as it is: every confused character or pair becomes the same letters."""
+    out = F.translate(word, "el1r05q942", "ciiiosggaz")
+    for wide, narrow in (("m", "in"), ("h", "ii"), ("b", "ii"), ("6", "ii"), ("8", "ii"), ("u", "ii"), ("w", "vv")):
+        out = F.replace(out, F.lit(wide), F.lit(narrow))
+    return out
+
+
+def _deletions(word: Column) -> Column:
+    """The word and what is left of it without each one of its characters: two words an edit apart share one of these."""
+    shorter = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    return F.array_distinct(F.transform(F.array_append(shorter, word), lambda w: F.xxhash64(w)))
 
 
 def options(words: DataFrame) -> DataFrame:
     """(word, n, correct, n_correct, known, score): each word that may be a misreading of more frequent ones, with all its candidates.
 
-    Candidates come from the automaton against the trie.  Vocabulary and lookups are spread over tasks of bounded size; every
-    lookup meets every part of the vocabulary.  Words from two characters on are looked up, those under five by known confusions
-    only; a single character says too little.
+    A word of two characters or more meets the words with the same :func:`fold`, which any misreading by known confusions has; one of five letters or more also those with
+    which it shares a word by one deletion, as all words one edit apart do.  Of these only words so many times as frequent as it count (RATIO, OTHER_RATIO), and
+    the automaton goes through the trie of each word's neighbours.  No word meets the rest of the vocabulary: the work grows with the number of distinct
+    words.
     """
     usable = words.where(F.length("word") >= 2)
-    right = usable.where(~F.col("word").rlike(r"\d") & (F.col("n") >= 3))
-    sizes = usable.agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("word").rlike(r"\d") & (F.col("n") >= 3)).alias("right")).first()
-    shards, chunks = max(1, -(-sizes["right"] // TRIE_WORDS)), max(LEAST_TASKS, -(-sizes["all"] // LOOKUPS))
-    a = right.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("q"), F.lit(True).alias("right"))
-    b = usable.select("word", "n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(chunks)).alias("q"), F.lit(False).alias("right"))
+    right = usable.where(~F.col("word").rlike(r"\d") & (F.col("n") >= RATIO)).select(F.col("word").alias("c"), F.col("n").alias("m"))
+    least = F.when(F.length("word") < 4, SHORT_RATIO).otherwise(RATIO) * F.col("n")
+    a = usable.select("word", "n", F.xxhash64(fold(F.col("word"))).alias("key"))
+    same = a.join(right.select("c", "m", F.xxhash64(fold(F.col("c"))).alias("key")), "key").where((F.col("m") >= least) & (F.col("word") != F.col("c")))
+    long_ = usable.where((F.length("word") >= 5) & F.col("word").rlike(r"^\p{L}+$"))
+    b = long_.select("word", "n", F.explode(_deletions(F.col("word"))).alias("key"))
+    frequent = right.where(F.col("m") >= OTHER_RATIO).select("c", "m", F.explode(_deletions(F.col("c"))).alias("key"))
+    near = b.join(frequent, "key").where((F.col("m") >= OTHER_RATIO * F.col("n")) & (F.col("word") != F.col("c")))
+    met = same.select("word", "n", "c", "m").unionByName(near.select("word", "n", "c", "m"))
+    neighbours = met.groupBy("word", "n").agg(F.collect_set(F.struct("c", "m")).alias("trie"))
     schema = "word string, n bigint, correct string, n_correct bigint, known boolean, score double"
 
-    def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        vocabulary, asked = pdf[pdf["right"]], pdf[~pdf["right"]]
-        trie = Trie(dict(zip(vocabulary["word"], vocabulary["n"].astype(int))))
-        rows = []
-        for word, n in zip(asked["word"], asked["n"].astype(int)):
-            other = OTHER_RATIO * n if len(word) >= 5 and word.isalpha() else float("inf")
-            found = trie.within(word, max(RATIO, 50 if len(word) < 4 else 0) * n, max(other, 20))
-            rows += [(word, n, c, m, known, m * 0.05**err) for c, (err, known, m) in found.items()]
-        return pd.DataFrame(rows, columns=["word", "n", "correct", "n_correct", "known", "score"])
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for word, n, trie in zip(pdf["word"], pdf["n"].astype(int), pdf["trie"]):
+                other = OTHER_RATIO * n if len(word) >= 5 and word.isalpha() else float("inf")
+                found = Trie({x["c"]: int(x["m"]) for x in trie}).within(word, (SHORT_RATIO if len(word) < 4 else RATIO) * n, other)
+                rows += [(word, n, c, m, known, m * 0.05**err) for c, (err, known, m) in found.items()]
+            yield pd.DataFrame(rows, columns=["word", "n", "correct", "n_correct", "known", "score"])
 
-    return a.unionByName(b).groupBy("s", "q").applyInPandas(look_up, schema)
+    return neighbours.mapInPandas(look_up, schema)
 
 
 def corrections(found: DataFrame) -> DataFrame:
@@ -167,10 +216,16 @@ def _key(line: str) -> str:
 
 
 def _roman(s: str) -> int | None:
-    value = {"i": 1, "1": 1, "v": 5, "x": 10, "l": 50}
+    """The value of a Roman numeral in its usual form (1 may stand for i), else None."""
+    s = s.replace("1", "i")
+    value = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
     n = [value[c] for c in s]
     total = sum(-a if a < b else a for a, b in zip(n, [*n[1:], 0]))
-    return total if 0 < total < 90 else None
+    usual, rest = "", total
+    for size, form in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        usual += form * max(0, rest // size)
+        rest %= size
+    return total if usual == s else None
 
 
 def _edges(lines: list[str]) -> Iterator[tuple[int, str, str | None, int | None, bool]]:
@@ -233,7 +288,8 @@ def marks(texts: DataFrame, common: dict[str, int], doubtful: set[str]) -> DataF
     Decided here: ``hyphen`` (a, b: the parts; joined by the counts of common words) and ``misread`` (a: a number or word with
     letters and figures mixed).  For the joins that follow: ``word`` (a: not common), ``broken`` (a, b), ``number`` (num: offset from
     the page's place, a: line and part, b: marked as a page number) and ``head`` (a: key, b: part); num of head is the line.  b of ``word``
-    and ``misread`` are the neighbouring words; a word has one row for each distinct pair of them on the page.
+    and ``misread`` are the neighbouring words; a word has one row for each distinct pair of them on the page.  A page whose place in the filing
+    is null has no ``number`` and no ``head``.
     """
     # at most COMMON_WORDS words; those with figures or with a correction are tested wherever they stand
     sound = {w for w in common if w not in doubtful and not any(c.isdigit() for c in w)}
@@ -245,6 +301,7 @@ def marks(texts: DataFrame, common: dict[str, int], doubtful: set[str]) -> DataF
         for pdf in batches:
             out = []
             for page, doc, place, text in zip(pdf["page_id"], pdf["document_id"], pdf["page_number"], pdf["text"]):
+                place = None if pd.isna(place) else int(place)
                 at = (page, doc, place)
                 chunks, last = [], 0
                 for a, b, first, second in _broken(text):
@@ -272,16 +329,17 @@ def marks(texts: DataFrame, common: dict[str, int], doubtful: set[str]) -> DataF
                     low = w.lower()
                     if not w or low in known or w.isdigit():
                         continue
+                    plain = low.isalpha()
+                    if not plain and not _LETTER.search(w):
+                        continue
                     near = _near(words, k)
                     if (low, near) in seen:
                         continue
                     seen.add((low, near))
-                    if low.isalpha():
+                    if plain:
                         out.append((*at, "word", low, near, 0))
                         continue
-                    digits, letters = sum(c.isdigit() for c in w), sum(c.isalpha() for c in w)
-                    if not letters:
-                        continue
+                    digits, letters = sum(map(str.isdigit, w)), sum(map(str.isalpha, w))
                     rest = w[2:] if low.startswith("fy") else w
                     if _misread_number(w):
                         out.append((*at, "misread", w, near, 0))
@@ -289,14 +347,14 @@ def marks(texts: DataFrame, common: dict[str, int], doubtful: set[str]) -> DataF
                         out.append((*at, "misread", w, near, 0))
                     else:
                         out += [(*at, "word", x, near, 0) for x in re.split(r"[\W_]+", low) if x and not x.isdigit() and x not in known]
-                for i, part, key, number, marked in _edges(text.split("\n")):
+                for i, part, key, number, marked in _edges(text.split("\n")) if place is not None else ():
                     if number is not None:
                         out.append((*at, "number", f"{i}\t{part}", "marked" if marked else None, number - place))
                     elif key:
                         out.append((*at, "head", key, part, i))
-            yield pd.DataFrame(out, columns=["page_id", "document_id", "page_number", "kind", "a", "b", "num"])
+            yield pd.DataFrame(out, columns=["page_id", "document_id", "page_number", "kind", "a", "b", "num"]).astype({"page_number": "Int64"})
 
-    return texts.where("page_number IS NOT NULL").select("page_id", "document_id", "page_number", "text").mapInPandas(run, schema)
+    return texts.select("page_id", "document_id", "page_number", "text").mapInPandas(run, schema)
 
 
 class Scan:
@@ -312,6 +370,10 @@ class Scan:
         self.common = {r.word: r.n for r in common}
         self.marks = cut(marks(self.texts, self.common, {r.word for r in common if r.doubtful}))
 
+    @cached_property
+    def _misread(self) -> DataFrame:
+        return cut(self.misread())
+
     def misread(self) -> DataFrame:
         """(page_id, word, correct): correct is null for numbers and words that mix letters and figures without a candidate."""
         m = self.marks.where("kind = 'word'").select("page_id", "document_id", F.col("a").alias("word"))
@@ -334,18 +396,23 @@ class Scan:
         for k, counts in n.items():
             rest = rest.join(counts, k, "left")
         joined, split = F.coalesce("n_j", F.lit(0)), F.coalesce("n_h", F.lit(0))
-        compound = (joined == 0) & (split == 0) & (F.coalesce("na", F.lit(0)) >= 20) & (F.coalesce("nb", F.lit(0)) >= 20)
+        rest = rest.crossJoin(F.broadcast(self.words.agg(F.sum("n").alias("_all"))))  # one row
+        often = lambda c: F.coalesce(c, F.lit(0)) >= COMPOUND_PART * F.col("_all")
+        compound = (joined == 0) & (split == 0) & F.col("na").isNotNull() & F.col("nb").isNotNull() & often("na") & often("nb")
         return done.unionByName(rest.where(((joined > 0) | (split == 0)) & (joined >= split) & ~compound).select("page_id", "a", "b"))
 
     def headers(self) -> DataFrame:
         """(page_id, line, part): running header and footer lines, by keys that recur on at least two pages of the filing.
 
-        A key two edits away from a recurring one is the same line wrongly recognised.  The first page, a cover, has none.
+        A key up to three edits away from a recurring one is the same line wrongly recognised.  The first page, a cover, has none.
         """
         heads = self.marks.where("kind = 'head' AND page_number > 1").select("document_id", "page_id", "page_number", F.col("a").alias("key"), F.col("num").alias("line"), F.col("b").alias("part"))
-        recurring = heads.groupBy("document_id", "key").agg(F.countDistinct("page_number").alias("_n")).where("_n >= 2").select("document_id", F.col("key").alias("_key"))
-        near = heads.join(recurring, "document_id").where(F.levenshtein("key", "_key", 3) >= 0)
-        return near.select("page_id", "line", "part").distinct()
+        keys = heads.groupBy("document_id", "key").agg(F.countDistinct("page_number").alias("_n"))
+        recurring = keys.where("_n >= 2").select("document_id", F.col("key").alias("_key"))
+        # each distinct key that doesn't recur meets the few of its filing that do; a recurring one is settled without
+        odd = keys.where("_n < 2").select("document_id", "key").join(recurring, "document_id").where(F.levenshtein("key", "_key", 3) >= 0).select("document_id", "key").distinct()
+        running = recurring.select("document_id", F.col("_key").alias("key")).unionByName(odd)
+        return heads.join(running, ["document_id", "key"], "left_semi").select("page_id", "line", "part").distinct()
 
     def page_numbers(self) -> DataFrame:
         """(page_id, line, part): pages whose edge shows a number at the offset that other pages of the filing have too, or one marked as a page number."""
@@ -360,14 +427,19 @@ class Scan:
         each of them follows the word before and precedes the word after, over all texts.
         """
         m = self.marks.where("kind IN ('word', 'misread')").select("page_id", F.lower("a").alias("word"), F.col("b").alias("near"))
-        wrong = self.misread().select("page_id", F.lower("word").alias("word")).distinct()
+        wrong = self._misread.select("page_id", F.lower("word").alias("word")).distinct()
         asked = m.join(wrong, ["page_id", "word"], "left_semi").join(self.options.drop("n"), "word")
         sides = F.split("near", " ")
         asked = cut(asked.select("*", F.concat_ws(" ", sides[0], "correct").alias("_l"), F.concat_ws(" ", "correct", sides[1]).alias("_r")))
         wanted = asked.select(F.explode(F.array("_l", "_r")).alias("pair")).distinct()
-        words = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_extract(w, r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)), lambda w: w != "")
-        pairs = self.texts.select(words.alias("w")).select(F.explode(F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pair"))
-        counts = cut(pairs.where("pair IS NOT NULL").join(wanted, "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("n")))
+        wanted = cut(wanted)
+        if (wanted.agg(F.sum(F.length("pair") + 16)).first()[0] or 0) <= BROADCAST:
+            counts = _count_pairs(self.texts, wanted.toPandas()["pair"].tolist())
+        else:  # too many to send: all pairs are counted before they are joined, so that each leaves a task once
+            words = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_extract(w, r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)), lambda w: w != "")
+            pairs = self.texts.select(words.alias("w")).select(F.explode(F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pair"))
+            counts = pairs.where("pair IS NOT NULL").groupBy("pair").agg(F.count(F.lit(1)).alias("n")).join(wanted, "pair", "left_semi")
+        counts = cut(counts)
         for c in ("_l", "_r"):
             asked = asked.join(counts.select(F.col("pair").alias(c), F.col("n").alias(f"n{c}")), c, "left")
         suits = F.col("score")
@@ -375,25 +447,130 @@ class Scan:
             suits = suits * (F.coalesce(c, F.lit(0)) / F.col("n_correct") + BY_CHANCE)
         return asked.groupBy("page_id", "word", "near").agg(F.max_by("correct", F.struct("known", suits.alias("s"), "correct")).alias("correct"))
 
+    def fixes(self) -> DataFrame:
+        """(page_id, kind, a, b, c): what :func:`repair` needs of each page, each once."""
+        none = F.lit(None).cast("string")
+        lines = self.headers().unionByName(self.page_numbers()).select("page_id", F.lit("line").alias("kind"), F.col("line").cast("string").alias("a"), F.col("part").alias("b"), none.alias("c"))
+        words = self.in_context().select("page_id", F.lit("word").alias("kind"), F.col("word").alias("a"), F.col("near").alias("b"), F.col("correct").alias("c"))
+        hyphens = self.hyphens().select("page_id", F.lit("hyphen").alias("kind"), F.lower("a").alias("a"), F.lower("b").alias("b"), none.alias("c"))
+        return lines.unionByName(words).unionByName(hyphens).distinct()
+
+    @cached_property
+    def _fixes(self) -> DataFrame:
+        """Settled before the texts are read again: short plans keep the driver small."""
+        return cut(self.fixes())
+
+    def _in_order(self) -> DataFrame:
+        """Pages and their fixes as rows, a filing's together and in order, the fixes of a page before its text (kind null): one shuffle, no join of the texts."""
+        none = F.lit(None).cast("string")
+        at = self.texts.select("page_id", "document_id", "page_number")
+        fixes = self._fixes.join(at, "page_id").select("page_id", "document_id", "page_number", "kind", "a", "b", "c", none.alias("text"))
+        pages = self.texts.select("page_id", "document_id", "page_number", none.alias("kind"), none.alias("a"), none.alias("b"), none.alias("c"), "text")
+        filing = F.coalesce("document_id", F.col("page_id").cast("string"))  # pages of no filing are spread
+        order = ["document_id", "page_number", "page_id", F.col("kind").asc_nulls_last()]
+        return fixes.unionByName(pages).repartition(filing).sortWithinPartitions(*order)
+
     def repaired(self) -> DataFrame:
         """(page_id, document_id, page_number, text): every page that has a text, repaired.
 
         Misread words and numbers are put right, header lines and page numbers taken out, cut words joined and the lines of each paragraph
-        made one; paragraphs are a blank line apart.  A page whose place in the filing is null has its lines joined only.
+        made one; paragraphs are a blank line apart.
         """
-        fix = F.struct("kind", "a", "b", "c")
-        lines = self.headers().unionByName(self.page_numbers()).select("page_id", F.lit("line").alias("kind"), F.col("line").cast("string").alias("a"), F.col("part").alias("b"), F.lit(None).cast("string").alias("c"))
-        words = self.in_context().select("page_id", F.lit("word").alias("kind"), F.col("word").alias("a"), F.col("near").alias("b"), F.col("correct").alias("c"))
-        hyphens = self.hyphens().select("page_id", F.lit("hyphen").alias("kind"), F.lower("a").alias("a"), F.lower("b").alias("b"), F.lit(None).cast("string").alias("c"))
-        fixes = lines.unionByName(words).unionByName(hyphens).groupBy("page_id").agg(F.collect_set(fix).alias("fixes"))
-        base = self.texts.join(fixes, "page_id", "left")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf["text"] = [repair(t, [] if f is None else [(x["kind"], x["a"], x["b"], x["c"]) for x in f], n is not None and n == n) for t, f, n in zip(pdf["text"], pdf["fixes"], pdf["page_number"])]
-                yield pdf[["page_id", "document_id", "page_number", "text"]]
+            for pages in _repaired_pages(batches):
+                yield pd.DataFrame(pages, columns=["page_id", "document_id", "page_number", "text"]).astype({"page_number": "Int64"})
+
+        return self._in_order().mapInPandas(run, "page_id bigint, document_id string, page_number int, text string")
+
+    def paragraphs(self) -> DataFrame:
+        """See :func:`paragraphs`."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            joiner = _Paragraphs()
+            for pages in _repaired_pages(batches):
+                yield pd.DataFrame(joiner.add(pages), columns=["document_id", "paragraph", "page_number", "text"])
+            yield pd.DataFrame(joiner.end(), columns=["document_id", "paragraph", "page_number", "text"])
+
+        return self._in_order().where("document_id IS NOT NULL AND page_number IS NOT NULL").mapInPandas(run, "document_id string, paragraph int, page_number int, text string")
 
-        return base.mapInPandas(run, "page_id bigint, document_id string, page_number int, text string")
+
+def _count_pairs(texts: DataFrame, wanted: list[str]) -> DataFrame:
+    """(pair, n): how often each wanted pair of neighbouring words stands in the texts; pairs that don't are left out.  ``wanted`` holds BROADCAST bytes at most."""
+    shipped = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = frozenset(shipped.value)
+        firsts = frozenset(p.partition(" ")[0] for p in pairs)
+        counts: Counter[str] = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                before = None
+                for w in text.lower().split():
+                    if not w.isalnum() and not (w := w.strip(_OUTER)):
+                        continue
+                    if before is not None and (pair := f"{before} {w}") in pairs:
+                        counts[pair] += 1
+                    before = w if w in firsts else None
+        yield pd.DataFrame(list(counts.items()), columns=["pair", "n"])
+
+    return texts.select("text").mapInPandas(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _repaired_pages(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """(page_id, document_id, page_number, repaired text) of the pages in each batch of ordered rows; fixes wait for their page, also over batches."""
+    fixes: list[tuple] = []
+    for pdf in batches:
+        out = []
+        for page, doc, place, kind, a, b, c, text in pdf[["page_id", "document_id", "page_number", "kind", "a", "b", "c", "text"]].itertuples(index=False):
+            if kind is not None:
+                fixes.append((kind, a, b, c))
+                continue
+            out.append((page, doc, None if pd.isna(place) else int(place), repair(text, fixes)))
+            fixes = []
+        yield out
+
+
+class _Paragraphs:
+    """Puts the pages of filings, which come in order, together into paragraphs."""
+
+    def __init__(self) -> None:
+        self.page: tuple | None = None  # the last delivery so far of the page at hand
+        self.doc, self.count, self.open = None, 0, None
+
+    def add(self, pages: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for page in pages:
+            if self.page and self.page[1:3] != page[1:3]:
+                self._take(out)
+            self.page = page
+        return out
+
+    def end(self) -> list[tuple]:
+        out: list[tuple] = []
+        if self.page:
+            self._take(out)
+        self._close(out)
+        return out
+
+    def _take(self, out: list[tuple]) -> None:
+        _, doc, place, text = self.page
+        if doc != self.doc:
+            self._close(out)
+            self.doc, self.count = doc, 0
+        for k, p in enumerate(p for p in text.split("\n\n") if p):
+            if not k and self.open and p[0].islower() and self.open[1][-1] not in ".!?:;":
+                end = self.open[1]
+                self.open = (self.open[0], end + ("" if end[-1] in HYPHENS else " ") + p)
+            else:
+                self._close(out)
+                self.open = (place, p)
+
+    def _close(self, out: list[tuple]) -> None:
+        if self.open:
+            self.count += 1
+            out.append((self.doc, self.count, *self.open))
+            self.open = None
 
 
 def _as_written(correct: str, wrong: str) -> str:
@@ -404,7 +581,67 @@ def _as_written(correct: str, wrong: str) -> str:
     return correct[:1].upper() + correct[1:] if wrong[:1].isupper() else correct
 
 
-def repair(text: str, fixes: list[tuple], numbers: bool = True) -> str:
+def _put_numbers(text: str) -> str:
+    """Letters that stand for figures put right in every misread number.  Such a number has a figure, point or comma beside such a letter, which little else has."""
+    chunks, last, n = [], 0, len(text)
+    for m in _MIXED.finditer(text):
+        a, b = m.span()
+        if a < last:
+            continue
+        while a and not text[a - 1].isspace():
+            a -= 1
+        while b < n and not text[b].isspace():
+            b += 1
+        w = text[a:b]
+        core = w.strip(_OUTER)
+        if _misread_number(core):
+            head = core[:2] if core[:2].lower() == "fy" else ""
+            w = w.replace(core, head + core[len(head) :].translate(_REPAIRED_FIGURES), 1)
+        chunks += [text[last:a], w]
+        last = b
+    return "".join([*chunks, text[last:]])
+
+
+def _put_words(text: str, by_place: dict[tuple[str, str], str], by_word: dict[str, str]) -> str:
+    """Each misread word replaced wherever it stands between other characters than letters and figures, by the correction that suits its neighbours."""
+    low, n = text.lower(), len(text)
+    if len(low) != n:  # a few capitals have longer small forms
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    hits = []
+    for key in by_word:
+        i = low.find(key)
+        while i >= 0:
+            j = i + len(key)
+            if not (i and low[i - 1].isalnum()) and not (j < n and low[j].isalnum()):
+                hits.append((i, j, key))
+            i = low.find(key, i + 1)
+    chunks, last = [], 0
+    for i, j, key in sorted(hits):
+        a, b = i, j  # the word with what is written together with it
+        while a and not text[a - 1].isspace():
+            a -= 1
+        while b < n and not text[b].isspace():
+            b += 1
+        x = a - 1
+        while x > 0 and text[x].isspace():
+            x -= 1
+        y = x
+        while y > 0 and not text[y - 1].isspace():
+            y -= 1
+        before = text[y : x + 1] if a and not text[x].isspace() else ""
+        x = b
+        while x < n and text[x].isspace():
+            x += 1
+        y = x
+        while y < n and not text[y].isspace():
+            y += 1
+        near = f"{before.strip(_OUTER).lower()} {text[x:y].strip(_OUTER).lower()}"
+        chunks += [text[last:i], _as_written(by_place.get((key, near)) or by_word[key], text[i:j])]
+        last = j
+    return "".join([*chunks, text[last:]])
+
+
+def repair(text: str, fixes: list[tuple]) -> str:
     """A page's text with its fixes: (line, number of the line, part), (word, word, neighbours, correction), (hyphen, first part, second part)."""
     furniture: dict[int, set[str]] = {}
     by_place, by_word, cut_words = {}, {}, set()
@@ -416,54 +653,45 @@ def repair(text: str, fixes: list[tuple], numbers: bool = True) -> str:
             by_word.setdefault(a, c)
         else:
             cut_words.add((a, b))
-    lines = text.split("\n")
-    for i, parts in furniture.items():
-        lines[i] = None if set(all_ := _COLUMNS.split(lines[i].strip())) <= parts else "   ".join(p for p in all_ if p not in parts)
-    text = "\n".join(line for line in lines if line is not None)
-    chunks, last = [], 0
-    for a, b, first, second in _broken(text):
-        if a >= last and (first.lower(), second.lower()) in cut_words:
-            chunks += [text[last:a], first, second]
-            last = b
-            rest = _WORD_END.match(text, b)  # the line ends after the word instead of in it
-            chunks.append(rest.group().rstrip() + "\n")
-            last = rest.end()
-    text = "".join([*chunks, text[last:]])
-    if by_word or numbers:
-        pieces = re.split(r"(\s+)", text)
-        words, k = text.split(), -1
-        for j, w in enumerate(pieces):
-            if not w or w.isspace():
-                continue
-            k += 1
-            core = w.strip(_OUTER)
-            low = core.lower()
-            if numbers and _misread_number(core):
-                head = core[:2] if low.startswith("fy") else ""
-                pieces[j] = w.replace(core, head + core[len(head) :].translate(_REPAIRED_FIGURES), 1)
-            elif core and by_word:
-                near = _near(words, k)
-                put = lambda x: _as_written(c, x) if (c := by_place.get((x.lower(), near)) or by_word.get(x.lower())) else x
-                fixed = put(core)
-                pieces[j] = w.replace(core, fixed if fixed != core else re.sub(r"[^\W_]+", lambda m: put(m.group()), core), 1)
-        text = "".join(pieces)
+    if furniture:
+        lines = text.split("\n")
+        for i, parts in furniture.items():
+            lines[i] = None if set(all_ := _COLUMNS.split(lines[i].strip())) <= parts else "   ".join(p for p in all_ if p not in parts)
+        text = "\n".join(line for line in lines if line is not None)
+    if cut_words:
+        chunks, last = [], 0
+        for a, b, first, second in _broken(text):
+            if a >= last and (first.lower(), second.lower()) in cut_words:
+                chunks += [text[last:a], first, second]
+                rest = _WORD_END.match(text, b)  # the line ends after the word instead of in it
+                chunks.append(rest.group().rstrip() + "\n")
+                last = rest.end()
+        text = "".join([*chunks, text[last:]])
+    text = _put_numbers(text)
+    if by_word:
+        text = _put_words(text, by_place, by_word)
     return reflow(text)
 
 
 def reflow(text: str) -> str:
     """The lines of each paragraph made one; blank lines, headings, list items and rows of columns still end a paragraph."""
     out = []
-    for block in re.split(r"\n[^\S\n]*(?:\n[^\S\n]*)+", text.strip("\n")):
-        lines = [line.strip() for line in block.split("\n") if line.strip()]
+    for block in _BLANK.split(text.strip("\n")):
+        lines = [line for raw in block.split("\n") if (line := raw.strip())]
         if not lines:
             continue
-        width, joined = max(map(len, lines)), [lines[0]]
-        for before, line in zip(lines, lines[1:]):
-            apart = _COLUMNS.search(before) or _COLUMNS.search(line) or _ITEM.match(line) or len(before) < 0.6 * width and not line[0].islower()
-            if apart:
+        if len(lines) == 1:
+            out.append(lines[0])
+            continue
+        least = 0.6 * max(map(len, lines))
+        before, columns, joined = lines[0], bool(_COLUMNS.search(lines[0])), [lines[0]]
+        for line in lines[1:]:
+            wide = bool(_COLUMNS.search(line))
+            if columns or wide or len(before) < least and not line[0].islower() or _ITEM.match(line):
                 joined.append(line)
             else:
                 joined[-1] += ("" if before[-1] in HYPHENS and len(before) > 1 and before[-2].isalnum() else " ") + line
+            before, columns = line, wide
         out.append("\n".join(joined))
     return "\n\n".join(out)
 
@@ -471,7 +699,7 @@ def reflow(text: str) -> str:
 def noise(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """(page_id, kind): one row per page and kind of noise in its text (or its blocks where the text is null).
 
-    Pages without any text, and pages whose place in the filing is null, have none.  Repeated pages each have their own rows.
+    Pages without any text have none; pages whose place in the filing is null have neither headers nor page numbers.  Repeated pages each have their own rows.
     """
     scan = Scan(pages, blocks)
     kinds = {"hyphen": scan.hyphens(), "misread": scan.misread(), "header": scan.headers(), "page_number": scan.page_numbers()}
@@ -486,20 +714,7 @@ def paragraphs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """(document_id, paragraph, page_number, text): the repaired paragraphs of each filing in order, also across its pages; page_number is where one begins.
 
     Of a page that was delivered again the last delivery counts.  A paragraph goes on over a page break where it doesn't end like a sentence
-    and the next page goes on in lower case.
+    and the next page goes on in lower case.  Pages without filing or place are in none.  The texts are shuffled once, and a filing of any length passes
+    through its task page by page.
     """
-    last = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy(F.col("page_id").desc()))
-    base = Scan(pages, blocks).repaired().where("document_id IS NOT NULL AND page_number IS NOT NULL").withColumn("_k", last).where("_k = 1")
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for doc, page, text in pdf.sort_values("page_number")[["document_id", "page_number", "text"]].itertuples(index=False):
-            for k, p in enumerate(p for p in text.split("\n\n") if p):
-                if not k and rows and p[0].islower() and rows[-1][3][-1] not in ".!?:;":
-                    end = rows[-1][3]
-                    rows[-1][3] = end + ("" if end[-1] in HYPHENS else " ") + p
-                else:
-                    rows.append([doc, len(rows) + 1, page, p])
-        return pd.DataFrame(rows, columns=["document_id", "paragraph", "page_number", "text"])
-
-    return base.drop("_k", "page_id").groupBy("document_id").applyInPandas(join, "document_id string, paragraph int, page_number int, text string")
+    return Scan(pages, blocks).paragraphs()
