@@ -28,6 +28,8 @@ def _code_points() -> list[int]:
 def _prototypes(spark: SparkSession) -> dict[int, str]:
     """Prototype of each character; one call into the JVM for all of them."""
     points = [*range(0x21, 0x7F), *_code_points()]
+    if getattr(spark, "_jvm", None) is None:
+        raise RuntimeError("the look-alike table is read from a library of the driver's JVM, which a Spark Connect session doesn't have")
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     parts = checker.getSkeleton("\n".join(map(chr, points))).split("\n")
     if len(parts) != len(points):

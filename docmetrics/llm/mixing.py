@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -19,24 +20,27 @@ CELLS = 1 << 14
 _ENCODERS: dict[str, object] = {}
 
 
-def _encoder(path: str):  # noqa: ANN202
+def _encoder(path: str, data: bytes):  # noqa: ANN202
     """One encoder for each worker."""
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         _ENCODERS[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 
 def token_sizes(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = TOKENIZER, weight: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens, weight): sizes in tokens; a null or empty text has none."""
+    """(doc_id, source, tokens, weight): sizes in tokens; a null or empty text has none.
+
+    The vocabulary file is read here and sent to the workers, which needn't have it: its size, about a megabyte, doesn't depend on the data.
+    """
+    shipped = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     base = documents.select(F.col(key).alias(key), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("_text"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"))
     schema = T.StructType([base.schema[0], T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("weight", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(tokenizer, shipped.value).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({key: pdf[key], "source": pdf["source"], "tokens": pd.Series([len(encode(t)) for t in pdf["_text"]], dtype="int64"), "weight": pdf["weight"]})
 

@@ -104,4 +104,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can state; the others are tested against brute force in tests/llm."""
+    quantile_rows = ", ".join(f"({q})" for q in quantiles.QUANTILES)
+    measured = """m AS (SELECT DISTINCT call_id, lower(trim(provider)) AS provider, model, called_at::DATE AS day, latency_ms FROM llm_calls WHERE latency_ms >= 0 AND NOT isnan(latency_ms)),
+        o AS (SELECT model, min(provider) AS owner FROM m WHERE provider IS NOT NULL GROUP BY model HAVING min(provider) = max(provider)),
+        f AS (SELECT coalesce(m.provider, o.owner) AS provider, m.model, m.call_id, m.latency_ms FROM m LEFT JOIN o USING (model))"""
+    rows = "array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(coalesce(r, []), lambda c: coalesce(c, '')), ' | ')), chr(10))"
+    return {
+        # every estimate lies within its bound, in as many groups and calls as there are
+        "p1_bounds": f"WITH {measured} SELECT provider, model, q::DOUBLE AS q, n, true AS within FROM (SELECT provider, model, count(*) AS n FROM f GROUP BY ALL), (VALUES {quantile_rows}) AS v(q)",
+        "p5_found": f"""SELECT 'page' AS item_kind, page_id AS item_id FROM parsed_pages, size_limits WHERE item_kind = 'page' AND length(full_text) > max_chars
+            UNION ALL SELECT 'table', table_id FROM parsed_tables, size_limits WHERE item_kind = 'table' AND length({rows}) > max_chars""",
+    }
