@@ -76,10 +76,9 @@ def json_metrics(replies: DataFrame, text: str = "text") -> DataFrame:
     """
     kept = [c for c in replies.columns if c != text]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
-    objects = once(replies.select(row.alias("_row"), F.col(text).alias("_t")), "_o", F.struct(clean_json(F.col("_t")).alias("t"), json_object(F.col("_t")).alias("v"))).where("_o.v IS NOT NULL")
+    objects = once(replies.select(row.alias("_row"), F.col(text).alias("_t")), "_o", F.struct(F.from_json(clean_json(F.col("_t")), "map<string, string>").alias("m"), json_object(F.col("_t")).alias("v"))).where("_o.v IS NOT NULL")
     # numbers as they are written come from the text itself: a variant doesn't keep the zero of 8.0
-    written = [F.coalesce(F.get_json_object("_o.t", f"$.{m}.value"), F.get_json_object("_o.t", f"$.{m}")) for m in METRICS]
-    entries = F.array(*[F.struct(F.lit(m).alias("field_name"), F.variant_get("_o.v", f"$.{m}", "variant").alias("f"), w.alias("w")) for m, w in zip(METRICS, written)])
+    entries = F.array(*[F.struct(F.lit(m).alias("field_name"), F.variant_get("_o.v", f"$.{m}", "variant").alias("f"), F.try_element_at("_o.m", F.lit(m)).alias("w")) for m in METRICS])
     x = objects.select("_row", F.inline(entries))
     kind = let(F.coalesce(F.schema_of_variant("f"), F.lit("VOID")), lambda k: F.when(k.startswith("OBJECT"), "object").when(k.startswith("ARRAY"), "list").when(k == "VOID", "null").otherwise("plain"))
     x = once(x, "_k", kind)
@@ -90,7 +89,8 @@ def json_metrics(replies: DataFrame, text: str = "text") -> DataFrame:
     shape = let(F.coalesce(F.schema_of_variant("_p.value"), F.lit("VOID")), lambda s: F.when(s == "VOID", "none").when(s == "BOOLEAN", "truth").when(s.isin("BIGINT", "DOUBLE") | s.startswith("DECIMAL"), "number").otherwise("text"))
     x = once(x.select("_row", "field_name", "_k", "_p", "w"), "_s", shape)
     number = F.when(F.col("_s") == "truth", F.try_variant_get("_p.value", "$", "boolean").cast("double")).when(F.col("_s") == "number", F.try_variant_get("_p.value", "$", "double"))
-    written = F.when(F.col("_s") == "text", F.try_variant_get("_p.value", "$", "string")).when(F.col("_s") == "truth", F.initcap("w")).when(F.col("_s") == "number", F.col("w"))
+    w = F.when(F.col("_k") == "object", F.get_json_object("w", "$.value")).otherwise(F.col("w"))
+    written = F.when(F.col("_s") == "text", F.try_variant_get("_p.value", "$", "string")).when(F.col("_s") == "truth", F.initcap(w)).when(F.col("_s") == "number", w)
     hint, money = (F.coalesce(F.nullif(F.col(f"_p.{c}"), F.lit("")), F.lit("USD")) for c in ("unit", "currency"))
     x = once(x, "_q", F.struct(number.alias("number"), written.alias("written"), hint.alias("hint"), money.alias("money")))
     x = x.select("_row", "field_name", "_k", "_s", "_q", F.col("_p.odd_unit").alias("_odd"), F.col("_p.source").alias("_source"), F.col("_p.confidence").alias("_sure"))
