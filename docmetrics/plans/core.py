@@ -220,9 +220,11 @@ def table_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Tables taken apart into cells and put together again, filled up to full rows."""
-    flat = table(spark, d, "parsed_tables").select("table_id", F.posexplode("rows").alias("row", "_r")).select("table_id", "row", F.posexplode("_r").alias("col", "text"))
-    return pages.grid(flat, ["table_id"]).select("table_id", grids.table_text(F.col("rows")).alias("text"))
+    """Tables taken apart into cells and put together again, filled up to full rows; an empty row counts, a table without any cell doesn't."""
+    held = table(spark, d, "parsed_tables").where(F.exists("rows", lambda r: F.size(r) > 0)).select(F.monotonically_increasing_id().alias("_t"), "table_id", "rows")
+    lines = held.select("_t", "table_id", F.posexplode("rows").alias("row", "_r"))
+    flat = lines.select("_t", "table_id", "row", F.posexplode_outer("_r").alias("col", "text")).withColumn("col", F.coalesce("col", F.lit(0)))
+    return pages.grid(flat, ["_t", "table_id"]).select("table_id", grids.table_text(F.col("rows")).alias("text"))
 
 
 def block_numbers(spark: SparkSession, d: str) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docmetrics.functions.tables import filled, header_row
+from docmetrics.session import once
 
 Parser = Callable[[bytes, int | None], list[dict]]
 PAGE = (
@@ -135,7 +136,19 @@ def page_counts(parsed: DataFrame) -> DataFrame:
 
 def grid(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, rows): cells (keys, row, col, text; counted from 0) put into a full grid, empty where there is none; the last of several by text counts."""
-    one = cells.where("row >= 0 AND col >= 0").groupBy(*keys, "row", "col").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
-    held = one.groupBy(*keys).agg(F.max("row").alias("_r"), F.max("col").alias("_c"), F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), "text"))).alias("_m"))
-    row = lambda r: F.transform(F.sequence(F.lit(0), F.col("_c")), lambda c: F.coalesce(F.try_element_at("_m", F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"))), F.lit("")))
-    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.col("_r")), row).alias("rows"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    cells = cells.where("row >= 0 AND col >= 0").groupBy(*keys).agg(F.max("row").alias("_r"), (F.max("col") + 1).alias("_w"), F.sort_array(F.collect_list(F.struct("row", "col", text))).alias("_c"))
+    place = lambda c: c["row"].cast("bigint") * F.col("_w") + c["col"]
+    end = (F.col("_r").cast("bigint") + 1) * F.col("_w")
+
+    def filled_up(c: Column, i: Column) -> Column:
+        """The cell and the gap before the next one; nothing for a cell that is followed by another at its place."""
+        steps = (F.coalesce(place(F.get("_c", i + 1)), end) - place(c)).cast("int")
+        return F.concat(F.array_repeat(c["text"], F.least(steps, F.lit(1))), F.array_repeat(F.lit(""), steps - 1))
+
+    complete = (F.size("_c") == end) & F.forall(F.sequence(F.lit(0), F.size("_c") - 1), lambda i: place(F.get("_c", i)) == i)
+    gaps = F.concat(F.array_repeat(F.lit(""), place(F.get("_c", F.lit(0))).cast("int")), F.flatten(F.transform("_c", filled_up)))
+    # Made once a grid: merged with the next step, it would be made again for each row.
+    line = once(cells, "_f", F.when(complete, F.col("_c.text")).otherwise(gaps))
+    cut_out = lambda r: F.slice("_f", (r * F.col("_w") + 1).cast("int"), F.col("_w").cast("int"))
+    return line.select(*keys, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_r").cast("bigint")), cut_out).alias("rows"))

@@ -1,10 +1,12 @@
 import datetime as dt
+import time
 import types
 
 import pytest
 from pyspark.sql import functions as F
 
 from docmetrics import providers
+from docmetrics.plans import core
 from docmetrics.plans.experiment import Experiment
 from docmetrics.schemas import TABLES
 from docmetrics.sources import csv_records, documents as d, ground_truth as g, pages as p
@@ -131,6 +133,29 @@ def test_grids_of_cells(spark):
     assert {r.k: r.rows for r in p.grid(cells, ["k"]).collect()} == {"t": [["a", "", ""], ["", "", "b"]], "u": [[""]]}
 
 
+def test_grids_of_scattered_cells(spark):
+    rows = [("t", 4, 1, "b"), ("t", 1, 0, "z"), ("t", 1, 0, "a"), ("t", 1, 3, None), ("t", -1, 9, "x"), ("t", None, 9, "x"), ("t", 9, None, "x"), (None, 0, 2, "n")]
+    want = {"t": [["", "", "", ""], ["z", "", "", ""], ["", "", "", ""], ["", "", "", ""], ["", "b", "", ""]], None: [["", "", "n"]]}
+    for kind in ("int", "bigint"):
+        got = p.grid(spark.createDataFrame(rows, f"k string, row {kind}, col {kind}, text string"), ["k"])
+        assert {r.k: r.rows for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("lost", [-1, 7])
+def test_the_time_of_a_grid_grows_with_its_cells(spark, lost):
+    cells = spark.range(10_000).where(f"id <> {lost}").selectExpr("'t' AS k", "CAST(id DIV 4 AS INT) AS row", "CAST(id % 4 AS INT) AS col", "CAST(id AS STRING) AS text")
+    began = time.perf_counter()
+    assert p.grid(cells, ["k"]).first().rows == [["" if 4 * r + c == lost else str(4 * r + c) for c in range(4)] for r in range(2500)]
+    assert time.perf_counter() - began < 20  # minutes where every cell is searched for among all
+
+
+def test_table_grid_keeps_empty_rows_and_tables_of_one_id(spark, tmp_path):
+    rows = [(1, [["a"], []]), (1, [["b", None], None, ["c", "d", ""]]), (None, [["x"]]), (None, [[None]]), (2, None), (3, []), (4, [[], None])]
+    spark.createDataFrame(rows, "table_id bigint, rows array<array<string>>").write.parquet(str(tmp_path / "parsed_tables.parquet"))
+    got = [(r.table_id, r.text) for r in core.table_grid(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "| a |\n|  |"), (1, "| b |  |  |\n|  |  |  |\n| c | d |  |"), (None, "| x |"), (None, "|  |")], key=repr)
+
+
 def echo():
     """Made in the task, as a factory is; a class of this file couldn't be read there."""
     from docmetrics.providers import Reply
